@@ -1,9 +1,12 @@
-"""Severity, rank score and advice as column expressions. Levels are integers until the last step."""
+"""Severity, rank score and advice as SQL expressions over column names.
+
+Levels are integers until the last step. The rules are long chains of cases, which read best, and
+are handed to Spark fastest, as SQL text.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -27,74 +30,82 @@ ADVICE = {
 }
 
 
-def metric_level(metric: str, value: Column, settings) -> Column:
+def metric_level(metric: str, value: str, settings) -> str:
     """Level of one metric value; lower bounds belong to the higher level, null counts as none."""
     if metric == "psi":
-        steps = zip(settings.psi_thresholds, (MEDIUM, HIGH))
+        steps = list(zip(settings.psi_thresholds, (MEDIUM, HIGH)))
     elif metric in BOUNDED_METRICS:
-        steps = zip(settings.bounded_thresholds, (LOW, MEDIUM, HIGH))
+        steps = list(zip(settings.bounded_thresholds, (LOW, MEDIUM, HIGH)))
     else:
-        steps = ()
-    level = F.lit(NONE)
-    for bound, reached in steps:
-        level = F.when(value >= F.lit(bound), F.lit(reached)).otherwise(level)
-    return level
+        return str(NONE)
+    cases = " ".join(f"WHEN {value} >= {_double(bound)} THEN {level}" for bound, level in reversed(steps))
+    return f"CASE {cases} ELSE {NONE} END"
+
+
+def metric_levels(metrics: Sequence[str], settings) -> str:
+    """The levels of several metrics, each in the column of its name, as an array."""
+    return f"array({', '.join(metric_level(m, m, settings) for m in metrics)})"
 
 
-def count_at_least(levels: list[Column], level: int) -> Column:
-    return reduce(add, [(x >= level).cast("int") for x in levels], F.lit(0))
+def count_at_least(levels: str, level: int) -> str:
+    return f"size(filter({levels}, x -> x >= {level}))"
 
 
-def consensus_level(primary: Column, levels: list[Column]) -> Column:
+def consensus_level(primary: str, levels: str) -> str:
     """Two high metrics make the column high; two at medium or above make it at least medium."""
     return (
-        F.when(count_at_least(levels, HIGH) >= 2, F.lit(HIGH))
-        .when(count_at_least(levels, MEDIUM) >= 2, F.greatest(primary, F.lit(MEDIUM)))
-        .otherwise(primary)
+        f"CASE WHEN {count_at_least(levels, HIGH)} >= 2 THEN {HIGH} "
+        f"WHEN {count_at_least(levels, MEDIUM)} >= 2 THEN greatest({primary}, {MEDIUM}) "
+        f"ELSE {primary} END"
     )
 
 
-def escalate(level: Column, new_category_share: Column, schema_issue: Column) -> Column:
+def escalate(level: str, new_category_share: str, schema_issue: str) -> str:
     """Structural evidence outranks the distances."""
     return (
-        F.when(schema_issue | (new_category_share >= NEW_CATEGORY_CRITICAL), F.lit(CRITICAL))
-        .when(new_category_share >= NEW_CATEGORY_HIGH, F.greatest(level, F.lit(HIGH)))
-        .otherwise(level)
+        f"CASE WHEN {schema_issue} OR {new_category_share} >= {_double(NEW_CATEGORY_CRITICAL)} THEN {CRITICAL} "
+        f"WHEN {new_category_share} >= {_double(NEW_CATEGORY_HIGH)} THEN greatest({level}, {HIGH}) "
+        f"ELSE {level} END"
     )
 
 
-def label(level: Column) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in LABELS]), level)
+def label(level: str) -> str:
+    names = ", ".join(f"'{x}'" for x in LABELS)
+    return f"get(array({names}), {level})"
 
 
-def rank_score(level: Column, levels: list[Column], use_consensus: bool) -> Column:
+def rank_score(level: str, levels: str, use_consensus: bool) -> str:
     """Level, raised by the share of metrics at medium or above; 0 when consensus is off."""
     if not use_consensus:
-        return F.lit(0.0)
-    return level * (1 + count_at_least(levels, MEDIUM) / F.lit(float(max(len(levels), 1))))
+        return "0D"
+    return f"{level} * (1D + {count_at_least(levels, MEDIUM)} / CAST(size({levels}) AS DOUBLE))"
 
 
-def advice_code(level: Column, missing_delta: Column, new_category_share: Column) -> Column:
+def advice_code(level: str, missing_delta: str, new_category_share: str) -> str:
     return (
-        F.when(level == CRITICAL, "act_now")
-        .when(level == HIGH, "find_cause")
-        .when(level == MEDIUM, "monitor")
-        .when(level == LOW, "keep_history")
-        .when(F.abs(missing_delta) > MISSING_DELTA_NOTABLE, "check_missing")
-        .when(new_category_share > 0, "check_new_categories")
-        .otherwise("nothing")
+        f"CASE WHEN {level} = {CRITICAL} THEN 'act_now' "
+        f"WHEN {level} = {HIGH} THEN 'find_cause' "
+        f"WHEN {level} = {MEDIUM} THEN 'monitor' "
+        f"WHEN {level} = {LOW} THEN 'keep_history' "
+        f"WHEN abs({missing_delta}) > {_double(MISSING_DELTA_NOTABLE)} THEN 'check_missing' "
+        f"WHEN {new_category_share} > 0 THEN 'check_new_categories' "
+        "ELSE 'nothing' END"
     )
 
 
-def advice_text(code: Column) -> Column:
+def advice_text(code: str) -> Column:
     pairs = [F.lit(x) for item in ADVICE.items() for x in item]
-    return F.element_at(F.create_map(*pairs), code)
+    return F.element_at(F.create_map(*pairs), F.expr(code))
 
 
-def dataset_label(high_or_critical: Column, dataset_drift: Column, drift_share: Column) -> Column:
+def dataset_label(high_or_critical: str, dataset_drift: str, drift_share: str) -> str:
     return (
-        F.when(high_or_critical > 0, LABELS[HIGH])
-        .when(dataset_drift, LABELS[MEDIUM])
-        .when(drift_share > 0, LABELS[LOW])
-        .otherwise(LABELS[NONE])
+        f"CASE WHEN {high_or_critical} > 0 THEN '{LABELS[HIGH]}' "
+        f"WHEN {dataset_drift} THEN '{LABELS[MEDIUM]}' "
+        f"WHEN {drift_share} > 0 THEN '{LABELS[LOW]}' "
+        f"ELSE '{LABELS[NONE]}' END"
     )
+
+
+def _double(x: float) -> str:
+    return f"{x!r}D"

@@ -14,14 +14,18 @@ NO_NUMBER_BIN = -1
 BIN, VALUE, ABSENT, REST = "bin", "value", "missing", "other"
 
 
+def quoted(name: str) -> str:
+    """The exact column name, dots and backticks included, as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column(name: str) -> Column:
-    """The column of this exact name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def number(name: str) -> Column:
     """The value as a double; adding zero turns -0.0 into 0.0, so both fall into the same bin."""
-    return column(name).cast("double") + F.lit(0.0)
+    return F.expr(f"CAST({quoted(name)} AS DOUBLE) + 0D")
 
 
 def without_nan(value: Column) -> Column:

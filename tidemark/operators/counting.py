@@ -10,7 +10,7 @@ from math import inf
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import ABSENT, NO_NUMBER_BIN, REST, VALUE, category, number, without_nan
+from ..functions.values import ABSENT, NO_NUMBER_BIN, REST, VALUE, category, column, number, quoted, without_nan
 
 # Columns that share one scan. A row is unfolded into as many cells as the scan has columns, so the
 # generated code grows with this number; beyond it, further scans read the further columns only.
@@ -38,9 +38,11 @@ def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """
 
     def scan(names: Sequence[str]) -> DataFrame:
-        cells = [F.struct(_position(i), category(x).alias("key")) for i, x in enumerate(names)]
+        cells = ", ".join(
+            f"named_struct('position', {i}, 'key', CAST({quoted(x)} AS STRING))" for i, x in enumerate(names)
+        )
         return (
-            df.select(F.inline(F.array(*cells)))
+            df.selectExpr(f"inline(array({cells}))")
             .groupBy("position", "key")
             .agg(F.count("*").alias("n"))
             .select(
@@ -89,12 +91,11 @@ def _bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFram
     names = list(edges)
     values = df.select(*[number(x).alias(f"v{i}") for i, x in enumerate(names)])
     binned = _with_bins(values, {f"b{i}": (F.col(f"v{i}"), edges[x]) for i, x in enumerate(names)})
-    cells = [
-        F.struct(_position(i), F.col(f"b{i}").alias("ord"), F.col(f"v{i}").alias("value"))
-        for i in range(len(names))
-    ]
+    cells = ", ".join(
+        f"named_struct('position', {i}, 'ord', b{i}, 'value', v{i})" for i in range(len(names))
+    )
     return (
-        binned.select(F.inline(F.array(*cells)))
+        binned.selectExpr(f"inline(array({cells}))")
         .groupBy("position", "ord")
         .agg(
             F.count("*").alias("n"),
@@ -122,7 +123,7 @@ def _with_bins(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]
             handleInvalid="keep",
         ).transform(df)
     return df.select(
-        *[F.col("`" + c.replace("`", "``") + "`") for c in plain],
+        *[column(c) for c in plain],
         *[_bin(out, value, edges).alias(out) for out, (value, edges) in wanted.items()],
     )
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import severity as s
 from ..functions.values import share
-from ..settings import METRICS, Settings
+from ..settings import EXTRA_METRICS, METRICS, Settings
 
 FEATURE_TYPES = ("numeric", "categorical")
 
-_BY_RANK = (F.col("severity_score").desc(), F.col("rank_score").desc(), F.col("feature_name"))
-
 
 @dataclass(frozen=True)
 class Report:
@@ -31,10 +30,10 @@ class Report:
             table.show(n, truncate=truncate)
 
     def order_by_severity(self) -> DataFrame:
-        return self.feature_metrics.orderBy(*_BY_RANK)
+        return self.feature_metrics.orderBy(*_by_rank())
 
     def drifted_features(self) -> DataFrame:
-        return self.feature_metrics.filter("drift_detected").orderBy(*_BY_RANK)
+        return self.feature_metrics.filter("drift_detected").orderBy(*_by_rank())
 
 
 def feature_metrics(measured: DataFrame, settings: Settings) -> DataFrame:
@@ -43,53 +42,60 @@ def feature_metrics(measured: DataFrame, settings: Settings) -> DataFrame:
     measured: feature, feature_type, all distances, new_category_share, missing_ref, missing_cur and
     schema_issue. Thresholds are applied to unrounded values.
     """
-    for_type = lambda make: _by_type(make, settings)
-    shown = [*METRICS, *[m for m in ("linf",) if any(m in settings.metrics_for(t) for t in FEATURE_TYPES)]]
-    level, score = F.col("severity_score"), F.col("rank_score")
-    delta, new_share = F.col("missing_delta"), F.col("new_category_share")
+    metrics = {t: settings.metrics_for(t) for t in FEATURE_TYPES}
+    extra = [m for m in EXTRA_METRICS if any(m in names for names in metrics.values())]
+    primary = {t: settings.primary_metric(t) for t in FEATURE_TYPES}
 
     rows = (
-        measured.withColumn("missing_delta", F.col("missing_cur") - F.col("missing_ref"))
-        .withColumn("severity_score", for_type(lambda t: _final_level(t, settings)))
+        measured.withColumns(
+            {
+                "missing_delta": F.expr("missing_cur - missing_ref"),
+                "levels": _by_type(lambda t: s.metric_levels(metrics[t], settings)),
+                "primary_value": _by_type(lambda t: primary[t]),
+                "primary_level": _by_type(lambda t: s.metric_level(primary[t], primary[t], settings)),
+            }
+        )
         .withColumn(
-            "rank_score",
-            for_type(lambda t: s.rank_score(level, _levels(t, settings), settings.use_metric_consensus)),
+            "severity_score",
+            F.expr(s.escalate(s.consensus_level("primary_level", "levels"), "new_category_share", "schema_issue")),
         )
         .select(
             F.col("feature").alias("feature_name"),
             "feature_type",
-            for_type(lambda t: F.lit(settings.primary_metric(t))).alias("primary_metric"),
-            for_type(lambda t: F.col(settings.primary_metric(t))).alias("primary_value"),
-            *[_if_requested(m, settings).alias(m) for m in shown],
-            s.label(level).alias("severity"),
-            level.cast("int").alias("severity_score"),
-            (level > s.NONE).alias("drift_detected"),
-            score.cast("double").alias("rank_score"),
+            _by_type(lambda t: f"'{primary[t]}'").alias("primary_metric"),
+            "primary_value",
+            *[_if_requested(m, metrics).alias(m) for m in [*METRICS, *extra]],
+            F.expr(s.label("severity_score")).alias("severity"),
+            "severity_score",
+            F.expr(f"severity_score > {s.NONE}").alias("drift_detected"),
+            F.expr(s.rank_score("severity_score", "levels", settings.use_metric_consensus)).alias("rank_score"),
             "missing_ref",
             "missing_cur",
             "missing_delta",
             "new_category_share",
-            s.advice_text(s.advice_code(level, delta, new_share)).alias("recommendation"),
+            s.advice_text(s.advice_code("severity_score", "missing_delta", "new_category_share")).alias(
+                "recommendation"
+            ),
         )
     )
     # one row per feature: a window over all of them is as small as the schema
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*_BY_RANK)))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*_by_rank())))
 
 
 def dataset_summary(features: DataFrame, min_share: float) -> DataFrame:
-    severe = F.col("severity_score") >= s.HIGH
-    counted = features.agg(
-        F.count("*").alias("total_features"),
-        F.count_if("drift_detected").alias("drifted_features"),
-        F.count_if(severe).alias("high_or_critical_features"),
-    )
-    drifted, total = F.col("drifted_features"), F.col("total_features")
     return (
-        counted.withColumn("drift_share", F.coalesce(share(drifted, total), F.lit(0.0)))
+        features.selectExpr(
+            "count(*) AS total_features",
+            "count_if(drift_detected) AS drifted_features",
+            f"count_if(severity_score >= {s.HIGH}) AS high_or_critical_features",
+        )
+        .withColumn(
+            "drift_share", F.coalesce(share(F.col("drifted_features"), F.col("total_features")), F.lit(0.0))
+        )
         .withColumn("dataset_drift", F.col("drift_share") >= F.lit(min_share))
         .withColumn(
             "dataset_severity",
-            s.dataset_label(F.col("high_or_critical_features"), F.col("dataset_drift"), F.col("drift_share")),
+            F.expr(s.dataset_label("high_or_critical_features", "dataset_drift", "drift_share")),
         )
     )
 
@@ -102,22 +108,15 @@ def build_report(features: DataFrame, settings: Settings) -> Report:
     )
 
 
-def _by_type(make, settings: Settings) -> Column:
-    return F.when(F.col("feature_type") == "numeric", make("numeric")).otherwise(make("categorical"))
-
-
-def _if_requested(metric: str, settings: Settings) -> Column:
-    types = [t for t in FEATURE_TYPES if metric in settings.metrics_for(t)]
-    return F.when(F.col("feature_type").isin(types), F.col(metric))
+def _by_rank() -> list[Column]:
+    return [F.col("severity_score").desc(), F.col("rank_score").desc(), F.col("feature_name")]
 
 
-def _levels(feature_type: str, settings: Settings) -> list[Column]:
-    return [s.metric_level(m, F.col(m), settings) for m in settings.metrics_for(feature_type)]
+def _by_type(make: Callable[[str], str]) -> Column:
+    return F.expr(
+        f"CASE WHEN feature_type = 'numeric' THEN {make('numeric')} ELSE {make('categorical')} END"
+    )
 
 
-def _final_level(feature_type: str, settings: Settings) -> Column:
-    primary = settings.primary_metric(feature_type)
-    level = s.consensus_level(
-        s.metric_level(primary, F.col(primary), settings), _levels(feature_type, settings)
-    )
-    return s.escalate(level, F.col("new_category_share"), F.col("schema_issue"))
+def _if_requested(metric: str, metrics: dict[str, Sequence[str]]) -> Column:
+    return _by_type(lambda t: metric if metric in metrics[t] else "CAST(NULL AS DOUBLE)")
