@@ -16,8 +16,6 @@ LISTED_CATEGORIES = 1000
 KNOWN_KEYS_IN_SCAN = 20_000
 KNOWN_CHARACTERS_IN_SCAN = 2_000_000
 
-_MOST_FREQUENT = (F.col("n").desc(), F.col("key").asc_nulls_first())
-
 
 def category_totals(counts: DataFrame) -> DataFrame:
     """feature, total_count, null_count, cardinality (the missing category counts as one)."""
@@ -34,7 +32,7 @@ def most_frequent(counts: DataFrame, k: int) -> DataFrame:
     Each task keeps its own best k before the shuffle, so a feature with very many categories
     sends k rows per task.
     """
-    order = Window.partitionBy("feature").orderBy(*_MOST_FREQUENT)
+    order = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("key").asc_nulls_first())
     return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 

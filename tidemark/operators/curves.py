@@ -5,6 +5,8 @@ All take one numeric column and leave out null and NaN.
 
 from __future__ import annotations
 
+from math import pi, sqrt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import number, share
@@ -21,11 +23,11 @@ KERNEL_REACH = 9
 def density_histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """bin, lower, upper, n, density: bins of equal width over the column's own range, with area 1.
 
-    Two scans: the range first (two numbers), then the counts, which are one row per bin and task.
+    Two scans: range and count first (three numbers), then the counts, which are one row per bin and task.
     """
     values = _numbers(df, column)
-    low, high = values.agg(F.min("value"), F.max("value")).first()
-    if low is None:
+    low, high, total = values.agg(F.min("value"), F.max("value"), F.count("*")).first()
+    if total == 0:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n bigint, density double")
     if low == high:
         low, high = low - 0.5, high + 0.5
@@ -33,7 +35,6 @@ def density_histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) ->
     bin_of = F.least(F.width_bucket("value", F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)) - 1
     counts = values.groupBy(bin_of.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     # at most one row per bin from here on
-    total = counts.agg(F.sum("n").alias("total"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         every.join(F.broadcast(counts), "bin", "left")
@@ -43,7 +44,7 @@ def density_histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) ->
             (F.lit(low) + F.col("bin") * width).alias("lower"),
             (F.lit(low) + (F.col("bin") + 1) * width).alias("upper"),
             "n",
-            (F.col("n") / (total.scalar() * width)).alias("density"),
+            (F.col("n") / F.lit(total * width)).alias("density"),
         )
     )
 
@@ -77,7 +78,7 @@ def density_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> Dat
         .groupBy("point")
         .agg(F.sum(F.exp(distance * distance * F.lit(-0.5))).alias("kernels"))
     )
-    scale = n * bandwidth * (2 * 3.141592653589793) ** 0.5
+    scale = n * bandwidth * sqrt(2 * pi)
     every = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
     # at most one row per point on either side
     return every.join(F.broadcast(sums), "point", "left").select(
