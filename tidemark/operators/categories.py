@@ -13,7 +13,7 @@ from .counting import category_counts, known_category_counts
 LISTED_CATEGORIES = 1000
 
 # Up to these bounds known categories are tested in the scan, beyond them they are joined.
-KNOWN_KEYS_IN_SCAN = 20_000
+KNOWN_KEYS_IN_SCAN = 5_000
 KNOWN_CHARACTERS_IN_SCAN = 2_000_000
 
 
