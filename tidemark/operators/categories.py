@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import ABSENT, REST, key_label, share
-from .counting import category_counts, known_category_counts
+from .counting import category_counts, category_counts_of_two, known_category_counts
 
 # Fixed value: how many rare or new categories are listed per feature.
 LISTED_CATEGORIES = 1000
@@ -139,15 +139,12 @@ def new_categories(
 ) -> DataFrame:
     """feature, category, n: categories of current that reference never has, most frequent first.
 
-    Both sides are counted by (feature, category) first, which leaves them partitioned as the anti
-    join wants them and makes a frequent category one row.
+    Both sides are counted together, which takes one shuffle of the categories and no join.
     """
-    seen = category_counts(reference, features)
-    found = category_counts(current, features)
-    unseen = found.alias("f").join(
-        seen.alias("s"),
-        (F.col("f.feature") == F.col("s.feature")) & F.col("f.key").eqNullSafe(F.col("s.key")),
-        "left_anti",
+    unseen = (
+        category_counts_of_two(reference, current, features)
+        .filter("n_ref = 0 AND n_cur > 0")
+        .withColumnRenamed("n_cur", "n")
     )
     return most_frequent(unseen, listed).select(
         "feature", key_label(F.col("kind"), F.col("key")).alias("category"), "n"

@@ -38,20 +38,25 @@ def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """
 
     def scan(names: Sequence[str]) -> DataFrame:
-        cells = ", ".join(
-            f"named_struct('position', {i}, 'key', CAST({quoted(x)} AS STRING))" for i, x in enumerate(names)
-        )
-        return (
-            df.selectExpr(f"inline(array({cells}))")
+        counts = _category_cells(df, names).groupBy("position", "key").agg(F.count("*").alias("n"))
+        return counts.select(_name_at(names), _kind_of_key(), "key", "n")
+
+    return _per_scan(features, scan)
+
+
+def category_counts_of_two(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows per category on both sides: feature, kind, key, n_ref, n_cur. One shuffle, no join."""
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def scan(names: Sequence[str]) -> DataFrame:
+        before = _category_cells(reference, names).select("*", one.alias("n_ref"), zero.alias("n_cur"))
+        after = _category_cells(current, names).select("*", zero.alias("n_ref"), one.alias("n_cur"))
+        counts = (
+            before.unionByName(after)
             .groupBy("position", "key")
-            .agg(F.count("*").alias("n"))
-            .select(
-                _name_at(names),
-                F.when(F.col("key").isNull(), ABSENT).otherwise(VALUE).alias("kind"),
-                "key",
-                "n",
-            )
+            .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
         )
+        return counts.select(_name_at(names), _kind_of_key(), "key", "n_ref", "n_cur")
 
     return _per_scan(features, scan)
 
@@ -75,6 +80,17 @@ def known_category_counts(df: DataFrame, known: Mapping[str, Mapping[str, Sequen
     return _per_scan(list(known), scan)
 
 
+def _category_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    cells = ", ".join(
+        f"named_struct('position', {i}, 'key', CAST({quoted(x)} AS STRING))" for i, x in enumerate(names)
+    )
+    return df.selectExpr(f"inline(array({cells}))")
+
+
+def _kind_of_key() -> Column:
+    return F.when(F.col("key").isNull(), ABSENT).otherwise(VALUE).alias("kind")
+
+
 def _known_cell(position: int, feature: str, known: Mapping[str, Sequence[str]]) -> Column:
     value = category(feature)
     absent_kind = F.lit(ABSENT if ABSENT in known else REST)

@@ -66,12 +66,12 @@ def sketched_quantiles(
     steps = 4 * accuracy
     probabilities = [i / n_bins for i in range(n_bins + 1)]
     grid = [(i + 0.5) / steps for i in range(steps)]
+    asked = f"array({', '.join(f'{p!r}D' for p in probabilities + grid)})"
 
     lane = F.floor(F.spark_partition_id() / F.lit(SKETCHES_PER_MERGE)).alias("lane")
     values = df.select(lane, *[without_nan(number(x)).alias(f"v{i}") for i, x in enumerate(features)])
     sketches = values.groupBy("lane").agg(
-        *[F.percentile_approx(f"v{i}", probabilities + grid, accuracy).alias(f"q{i}")
-          for i in range(len(features))],
+        *[F.expr(f"percentile_approx(v{i}, {asked}, {accuracy})").alias(f"q{i}") for i in range(len(features))],
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(features))],
     )
     cells = [
