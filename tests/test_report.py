@@ -237,6 +237,29 @@ def test_features_are_those_found_at_fit(spark):
     assert by_name(compare(current, baseline, settings).feature_metrics).keys() == {"x", "c"}
 
 
+def test_unusual_column_names(spark):
+    df = spark.range(20).selectExpr("id AS `a.b c`", "CAST(id % 3 AS STRING) AS `x``y`", "id AS `it's`")
+    settings = Settings(infer_features=True)
+    found = by_name(compare(df, fit_baseline(df, settings), settings).feature_metrics)
+    assert found.keys() == {"a.b c", "x`y", "it's"}
+    assert all(r["psi"] == pytest.approx(0) for r in found.values())
+
+
+def test_repeated_features_count_once(spark):
+    df = spark.range(20).selectExpr("id AS x")
+    settings = Settings(numeric_features=["x", "x"])
+    assert len(compare(df, fit_baseline(df, settings), settings).feature_metrics.collect()) == 1
+
+
+def test_schema_changes_against_the_baseline(spark):
+    df = spark.range(5).selectExpr("id AS x", "id AS y", "id AS z")
+    monitor = Monitor(Settings(numeric_features=["x"]), spark).fit(df)
+    found = monitor.schema_changes(df.selectExpr("x", "CAST(y AS INT) AS y", "1 AS w"))
+    assert {r["feature"]: r["status"] for r in found.collect()} == {
+        "w": "UNEXPECTED", "x": "OK", "y": "TYPE_CHANGED", "z": "MISSING",
+    }
+
+
 def test_compare_before_fit(spark):
     monitor = Monitor(Settings(numeric_features=["x"]), spark)
     with pytest.raises(RuntimeError):

@@ -4,6 +4,7 @@ import pytest
 
 from tidemark import Monitor, Settings
 
+# The rows of the example.
 COLUMNS = ["idade", "renda", "score", "uf", "segmento", "canal"]
 REFERENCE = [
     (25, 3000.0, 700.0, "DF", "PF", "APP"),

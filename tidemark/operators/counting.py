@@ -39,7 +39,7 @@ def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
     def scan(names: Sequence[str]) -> DataFrame:
         counts = _category_cells(df, names).groupBy("position", "key").agg(F.count("*").alias("n"))
-        return counts.select(_name_at(names), _kind_of_key(), "key", "n")
+        return counts.select(name_at(names), _kind_of_key(), "key", "n")
 
     return _per_scan(features, scan)
 
@@ -56,7 +56,7 @@ def category_counts_of_two(reference: DataFrame, current: DataFrame, features: S
             .groupBy("position", "key")
             .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
         )
-        return counts.select(_name_at(names), _kind_of_key(), "key", "n_ref", "n_cur")
+        return counts.select(name_at(names), _kind_of_key(), "key", "n_ref", "n_cur")
 
     return _per_scan(features, scan)
 
@@ -74,12 +74,17 @@ def known_category_counts(df: DataFrame, known: Mapping[str, Mapping[str, Sequen
             df.select(F.inline(F.array(*cells)))
             .groupBy("position", "kind", "key")
             .agg(F.count("*").alias("n"), F.sum("valued").alias("n_valued"))
-            .select(_name_at(names), "kind", "key", "n", "n_valued")
+            .select(name_at(names), "kind", "key", "n", "n_valued")
         )
 
     return _per_scan(list(known), scan)
 
 
+def name_at(names: Sequence[str]) -> Column:
+    """The feature's name from its position, which is cheaper to group by."""
+    return F.get(F.array(*[F.lit(x) for x in names]), F.col("position")).alias("feature")
+
+
 def _category_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
     cells = ", ".join(
         f"named_struct('position', {i}, 'key', CAST({quoted(x)} AS STRING))" for i, x in enumerate(names)
@@ -119,7 +124,7 @@ def _bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFram
             F.min("value").alias("lo"),
             F.max("value").alias("hi"),
         )
-        .select(_name_at(names), "ord", "n", "n_valued", "lo", "hi")
+        .select(name_at(names), "ord", "n", "n_valued", "lo", "hi")
     )
 
 
@@ -159,10 +164,6 @@ def _position(i: int) -> Column:
     return F.lit(i).alias("position")
 
 
-def _name_at(names: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in names]), F.col("position")).alias("feature")
-
-
 def _per_scan(names: Sequence[str], scan: Callable[[Sequence[str]], DataFrame]) -> DataFrame:
     if not names:
         raise ValueError("no features given")

@@ -9,7 +9,7 @@ from math import ceil, inf, nextafter
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.values import number, without_nan
-from .counting import COLUMNS_PER_SCAN, batches
+from .counting import COLUMNS_PER_SCAN, batches, name_at
 from .running import with_running_counts
 
 # Sketches of this many input partitions are merged by one task.
@@ -70,19 +70,17 @@ def sketched_quantiles(
 
     lane = F.floor(F.spark_partition_id() / F.lit(SKETCHES_PER_MERGE)).alias("lane")
     values = df.select(lane, *[without_nan(number(x)).alias(f"v{i}") for i, x in enumerate(features)])
+    each = range(len(features))
     sketches = values.groupBy("lane").agg(
-        *[F.expr(f"percentile_approx(v{i}, {asked}, {accuracy})").alias(f"q{i}") for i in range(len(features))],
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(features))],
+        *[F.expr(f"percentile_approx(v{i}, {asked}, {accuracy})").alias(f"q{i}") for i in each],
+        *[F.count(f"v{i}").alias(f"n{i}") for i in each],
     )
-    cells = [
-        F.struct(F.lit(x).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q"))
-        for i, x in enumerate(features)
-    ]
+    cells = ", ".join(f"named_struct('position', {i}, 'n', n{i}, 'q', q{i})" for i in each)
     points = (
-        sketches.select(F.inline(F.array(*cells)))
+        sketches.selectExpr(f"inline(array({cells}))")
         .filter("n > 0")
         .select(
-            "feature",
+            name_at(features),
             (F.col("n") / F.lit(float(steps))).alias("weight"),
             F.slice("q", 1, n_bins + 1).alias("own"),
             F.posexplode(F.slice("q", n_bins + 2, steps)).alias("at", "value"),

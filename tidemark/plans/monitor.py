@@ -19,7 +19,7 @@ from ..operators.features import (
     schema_types,
 )
 from ..operators.quantiles import bin_edges, quantile_vectors
-from ..operators.schema_diff import compare_schemas
+from ..operators.schema_diff import compare_schemas, schema_changes, schema_table
 from ..settings import Settings
 from ..sources.shared import pin
 from ..sources.tables import TableStore, literal_table
@@ -83,6 +83,11 @@ class Monitor:
     def compare(self, current: DataFrame) -> Report:
         return compare(current, self._fitted(), self.settings)
 
+    def schema_changes(self, current: DataFrame) -> DataFrame:
+        """feature, status, reference_type, current_type of all columns against the baseline's schema."""
+        sides = [schema_table(self.spark, x) for x in (self._fitted().schema, schema_types(current))]
+        return schema_changes(*sides)
+
     def save_baseline(self, path: str, mode: str = "overwrite") -> None:
         self._fitted().save(self.store, path, mode)
 

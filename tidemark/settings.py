@@ -23,7 +23,7 @@ class Settings:
     """Settings of one monitor.
 
     relative_error     rank error allowed for the quantiles that become bin edges
-    exact_quantiles    take exact quantiles instead (costs a shuffle of the distinct values)
+    exact_quantiles    take exact quantiles instead; shuffles and writes the distinct values once
     edge_policy        'replace_ends' opens the outer edges to infinity, so the smallest and the
                        largest quantile are no edges of their own; 'extend_ends' keeps them as
                        inner edges, which makes a change in a two-valued column visible
@@ -52,8 +52,8 @@ class Settings:
 
     def __post_init__(self) -> None:
         put = lambda name, value: object.__setattr__(self, name, value)
-        put("numeric_features", tuple(self.numeric_features or ()))
-        put("categorical_features", tuple(self.categorical_features or ()))
+        put("numeric_features", tuple(dict.fromkeys(self.numeric_features or ())))
+        put("categorical_features", tuple(dict.fromkeys(self.categorical_features or ())))
         put("metrics_numeric", requested_metrics(self.metrics_numeric))
         put("metrics_categorical", requested_metrics(self.metrics_categorical))
         put("psi_thresholds", _ascending("psi_thresholds", self.psi_thresholds, 2))
