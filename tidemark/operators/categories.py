@@ -81,14 +81,13 @@ def category_bins(entries: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def key_lists(known: DataFrame) -> dict[str, dict[str, list[str]]] | None:
-    """The known keys (feature, kind, key) as {feature: {kind: keys}}, or None where they are too many.
+def few_enough(keys: int, characters: int) -> bool:
+    """May this many known keys, of this length together, be written into a scan?"""
+    return keys <= KNOWN_KEYS_IN_SCAN and characters <= KNOWN_CHARACTERS_IN_SCAN
 
-    The size is checked before anything is fetched.
-    """
-    size = known.agg(F.count("*").alias("keys"), F.sum(F.length("key")).alias("characters")).first()
-    if size["keys"] > KNOWN_KEYS_IN_SCAN or (size["characters"] or 0) > KNOWN_CHARACTERS_IN_SCAN:
-        return None
+
+def key_lists(known: DataFrame) -> dict[str, dict[str, list[str]]]:
+    """The known keys (feature, kind, key) as {feature: {kind: keys}}; only where they are few_enough."""
     lists: dict[str, dict[str, list[str]]] = {}
     for row in known.collect():
         lists.setdefault(row["feature"], {}).setdefault(row["kind"], []).append(row["key"])
@@ -100,7 +99,7 @@ def projected_counts(
 ) -> DataFrame:
     """Counts of df's categories on a known list (feature, kind, key), the rest summed as 'other'.
 
-    lists: the same list as made by key_lists, if it is small. Without it the list is joined, after
+    lists: the same list as made by key_lists, if there are few_enough keys. Without it the list is joined, after
     counting, whatever its size. A feature without known categories has only 'other'.
     Result: feature, kind, key, n, n_valued.
     """

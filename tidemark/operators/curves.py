@@ -10,6 +10,7 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import number, share
+from ..sources.tables import literal_table
 from .running import with_running_counts
 
 # Bins of the histogram, points of the smoothed curve.
@@ -28,14 +29,14 @@ def density_histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) ->
     values = _numbers(df, column)
     low, high, total = values.agg(F.min("value"), F.max("value"), F.count("*")).first()
     if total == 0:
-        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n bigint, density double")
+        return literal_table(df.sparkSession, [], "bin int, lower double, upper double, n bigint, density double")
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
     bin_of = F.least(F.width_bucket("value", F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)) - 1
     counts = values.groupBy(bin_of.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     # at most one row per bin from here on
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    every = df.sparkSession.range(0, bins, 1, 1).select(F.col("id").cast("int").alias("bin"))
     return (
         every.join(F.broadcast(counts), "bin", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
@@ -62,7 +63,7 @@ def density_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> Dat
         F.count("*"), F.min("value"), F.max("value"), F.stddev_samp("value")
     ).first()
     if n < 2 or not deviation:
-        return df.sparkSession.createDataFrame([], "point int, x double, density double")
+        return literal_table(df.sparkSession, [], "point int, x double, density double")
     bandwidth = deviation * n ** -0.2
     step = (high - low) / (points - 1)
 
@@ -79,7 +80,7 @@ def density_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> Dat
         .agg(F.sum(F.exp(distance * distance * F.lit(-0.5))).alias("kernels"))
     )
     scale = n * bandwidth * sqrt(2 * pi)
-    every = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    every = df.sparkSession.range(0, points, 1, 1).select(F.col("id").cast("int").alias("point"))
     # at most one row per point on either side
     return every.join(F.broadcast(sums), "point", "left").select(
         "point",

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from math import ceil, inf, nextafter
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.values import number, without_nan
+from ..sources.tables import literal_table
 from .counting import COLUMNS_PER_SCAN, batches, name_at
 from .running import with_running_counts
 
@@ -131,7 +132,7 @@ def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [scan(part) for part in batches(features, COLUMNS_PER_SCAN)])
 
 
-def edge_table(spark, edges: Mapping[str, Sequence[float]]) -> DataFrame:
+def edge_table(spark: SparkSession, edges: Mapping[str, Sequence[float]]) -> DataFrame:
     """The edges as a table: feature, position, edge."""
     rows = [(f, i, float(e)) for f, es in edges.items() for i, e in enumerate(es)]
-    return spark.createDataFrame(rows, "feature string, position int, edge double")
+    return literal_table(spark, rows, "feature string, position int, edge double")

@@ -41,11 +41,18 @@ class Baseline:
     def __init__(self, profile: DataFrame, schema: Mapping[str, str]) -> None:
         self.profile = profile
         self.schema = dict(schema)
-        rows = profile.select("feature_name", "feature_type", "bin_edges").collect()
-        self.edges = {r["feature_name"]: list(r["bin_edges"]) for r in rows if r["feature_type"] == "numeric"}
-        self.categorical = [r["feature_name"] for r in rows if r["feature_type"] == "categorical"]
         self.known = known_categories(profile)
-        self.known_lists = categories.key_lists(self.known) if self.categorical else {}
+
+        characters = F.aggregate("bins", F.lit(0), lambda sum_, x: sum_ + F.length(x["key"]))
+        rows = profile.select(
+            "feature_name", "feature_type", "bin_edges", F.size("bins").alias("keys"), characters.alias("characters")
+        ).collect()
+        self.edges = {r["feature_name"]: list(r["bin_edges"]) for r in rows if r["feature_type"] == "numeric"}
+        listed = [r for r in rows if r["feature_type"] == "categorical"]
+        self.categorical = [r["feature_name"] for r in listed]
+        # fetched only where small: {feature: {kind: keys}}, else None
+        few = categories.few_enough(sum(r["keys"] for r in listed), sum(r["characters"] for r in listed))
+        self.known_lists = categories.key_lists(self.known) if few else None
 
     def save(self, store: TableStore, path: str, mode: str = "overwrite") -> None:
         """Two tables below path: the profile, and the schema of the whole reference table."""
@@ -154,7 +161,7 @@ def counts_on_baseline(df: DataFrame, baseline: Baseline, leave_out: Iterable[st
     """df counted on the baseline's bins and categories (COUNTS_SCHEMA), one scan per column."""
     wanted = df.drop(*leave_out)
     numeric, categorical = present(wanted, baseline.edges), present(wanted, baseline.categorical)
-    parts = [literal_table(df.sparkSession, [], COUNTS_SCHEMA)]
+    parts = []
     if numeric:
         parts.append(
             numeric_counts(wanted, {x: baseline.edges[x] for x in numeric}).select(
@@ -180,6 +187,8 @@ def counts_on_baseline(df: DataFrame, baseline: Baseline, leave_out: Iterable[st
                 "n_valued",
             )
         )
+    if not parts:
+        return literal_table(df.sparkSession, [], COUNTS_SCHEMA)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,6 +10,7 @@ from ..functions.values import BIN, VALUE, key_label, share
 from ..operators.categories import category_bins, category_totals, most_frequent, project, rare_categories
 from ..operators.counting import category_counts, numeric_counts
 from ..operators.features import schema_types
+from ..sources.tables import literal_table
 
 PROFILE_SCHEMA = (
     "feature_name string, feature_type string, data_type string, count bigint, total_count bigint, "
@@ -46,7 +47,8 @@ def numeric_profile(
         )
     )
     types = schema_types(df)
-    given = df.sparkSession.createDataFrame(
+    given = literal_table(
+        df.sparkSession,
         [(x, types[x], [float(q) for q in quantiles.get(x, ())], [float(e) for e in edges[x]]) for x in edges],
         "feature string, data_type string, quantiles array<double>, bin_edges array<double>",
     )
@@ -96,12 +98,12 @@ def categorical_profile(
         .select("feature", F.col("rare.key").alias("rare_categories"))
     )
     types = schema_types(df)
-    given = df.sparkSession.createDataFrame([(x, types[x]) for x in features], "feature string, data_type string")
-    # one row per feature on every side
+    given = literal_table(df.sparkSession, [(x, types[x]) for x in features], "feature string, data_type string")
+    # one row per feature on every side, but bins and rare hold texts of any length: no broadcast asked for
     return _profile_rows(
-        given.join(F.broadcast(totals), "feature", "left")
-        .join(F.broadcast(bins), "feature", "left")
-        .join(F.broadcast(rare), "feature", "left")
+        given.join(totals, "feature", "left")
+        .join(bins, "feature", "left")
+        .join(rare, "feature", "left")
         .select(
             "feature",
             "data_type",

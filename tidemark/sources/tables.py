@@ -17,8 +17,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def literal_table(spark: SparkSession, rows: Sequence, ddl: str) -> DataFrame:
-    """A small table written out in the program (settings, schema snapshots); may be empty."""
-    return spark.createDataFrame(list(rows), ddl)
+    """A small table written out in the program (names, schemas, edges), in one partition; may be empty."""
+    return spark.createDataFrame(list(rows), ddl).coalesce(1)
 
 
 class TableStore:
