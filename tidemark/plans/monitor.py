@@ -43,7 +43,7 @@ class Baseline:
         self.schema = dict(schema)
         self.known = known_categories(profile)
 
-        characters = F.aggregate("bins", F.lit(0), lambda sum_, x: sum_ + F.length(x["key"]))
+        characters = F.aggregate("bins", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + F.length(x["key"]))
         rows = profile.select(
             "feature_name", "feature_type", "bin_edges", F.size("bins").alias("keys"), characters.alias("characters")
         ).collect()
