@@ -70,8 +70,8 @@ def test_new_categories_take_one_shuffle_of_the_categories(lineitem):
     found = categories.new_categories(lineitem.filter("l_tax < 0.05"), lineitem, ["l_orderkey", "l_returnflag"])
     plan = final_plan(found)
     assert "Join" not in plan
-    # one for the counts, one for the few candidates each task keeps
-    assert plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
+    # one for the counts, two for the few candidates each task and each lane keeps
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("WindowGroupLimit") == 4
 
 
 def test_curves_pair_no_rows(lineitem):

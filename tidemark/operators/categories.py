@@ -12,6 +12,9 @@ from .counting import category_counts, category_counts_of_two, known_category_co
 # Fixed value: how many rare or new categories are listed per feature.
 LISTED_CATEGORIES = 1000
 
+# How many tasks share the ranking of one feature's categories before the last step.
+TOP_K_LANES = 64
+
 # Up to these bounds known categories are tested in the scan, beyond them they are joined.
 KNOWN_KEYS_IN_SCAN = 5_000
 KNOWN_CHARACTERS_IN_SCAN = 2_000_000
@@ -29,11 +32,17 @@ def category_totals(counts: DataFrame) -> DataFrame:
 def most_frequent(counts: DataFrame, k: int) -> DataFrame:
     """The k most frequent categories per feature with their position; ties go by key.
 
-    Each task keeps its own best k before the shuffle, so a feature with very many categories
-    sends k rows per task.
+    Each task keeps its own best k before the shuffle. Their number still grows with the tasks, so
+    they are narrowed down once more in lanes before one task per feature takes the last step: it
+    gets at most k rows per lane.
     """
-    order = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("key").asc_nulls_first())
-    return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+    def best(rows: DataFrame, *group: str) -> DataFrame:
+        order = Window.partitionBy(*group).orderBy(F.col("n").desc(), F.col("key").asc_nulls_first())
+        return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+    lanes = counts.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(TOP_K_LANES)))
+    return best(best(lanes, "feature", "lane").drop("lane", "position"), "feature")
 
 
 def rare_categories(
