@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, language, packing, sharding, token_counts, topk, warc
+from tidemark.llm import byte_bpe, jaccard, language, packing, sharding, token_counts, topk, warc
 from tidemark.llm.common import keep, table, work_folder
 
 
@@ -36,6 +36,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
