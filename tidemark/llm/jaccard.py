@@ -404,3 +404,16 @@ def similar_groups(df: DataFrame, width: int = 3, percent: int = 90, id_col: str
     return rows.select("id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
     )
+
+
+def keep_one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns: of each group of similar documents the one with the smallest id.
+
+    Rows that repeat an id are one document and stay once. Rows without an id can't be told apart by it and all stay.
+    """
+    groups = similar_groups(df, width, percent, id_col, text_col)
+    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first")).distinct()
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain, key = df.toDF(*names), names[df.columns.index(id_col)]
+    kept = plain.join(first, F.col(key) == F.col("first"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(plain.filter(F.col(key).isNull())).toDF(*df.columns)

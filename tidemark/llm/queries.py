@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, jaccard, language, packing, sharding, suffix_dedup, token_counts, topk, warc
+from tidemark.llm import ann, byte_bpe, jaccard, language, packing, sharding, suffix_dedup, token_counts, topk, warc
 from tidemark.llm.common import keep, table, work_folder
 
 
@@ -51,6 +51,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, model).withColumn("held_out", held_out)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return ann.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"), top=20)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), max_bytes=1 << 20)
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
+    "op7_ann": op7_ann,
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,

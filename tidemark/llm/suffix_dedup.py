@@ -351,19 +351,11 @@ def kept(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def mark_repeats(
-    df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE
-) -> DataFrame:
-    """id, k, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary, null where nothing was removed) of every row."""
-    if length <= TRIGGER:
-        raise ValueError(f"length must be above {TRIGGER}")
-    ship(df.sparkSession)
-    docs = _with_key(df, id_col, text_col)
-    id_type = docs.schema["id"].dataType.simpleString()
+def _found(docs: DataFrame, length: int, phrase: int) -> tuple[DataFrame, DataFrame]:
+    """The keys of texts that occur more than once, and for other texts with repeats: k, removed, n_spans, kept_sha and kept (binary)."""
     copies = docs.select("k", F.octet_length("text").alias("n")).filter(F.col("n") >= length).groupBy("k").count()
-    copies = keep(copies.filter("count > 1").select("k"), "suffix")
+    copies = keep(copies.filter("count > 1").select("k", F.lit(True).alias("whole")), "suffix")
     spans = keep(repeated_spans(docs, length, phrase).join(copies, "k", "left_anti"), "suffix")
-    narrow = keep(docs.select("id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,10 +373,21 @@ def mark_repeats(
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=names)
 
     texts = _texts_of(docs.select("k", "text"), spans.select("k")).dropDuplicates(["k"]).join(spans, "k")
-    partly = texts.mapInArrow(cut, "k long, removed long, n_spans long, kept_sha string, kept binary")
+    return copies, texts.mapInArrow(cut, "k long, removed long, n_spans long, kept_sha string, kept binary")
+
+
+def mark_repeats(
+    df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE
+) -> DataFrame:
+    """id, k, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary, null where nothing was removed) of every row."""
+    if length <= TRIGGER:
+        raise ValueError(f"length must be above {TRIGGER}")
+    ship(df.sparkSession)
+    docs = _with_key(df, id_col, text_col)
+    copies, partly = _found(docs, length, phrase)
+    narrow = docs.select("id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     nothing = hashlib.sha256(b"").hexdigest()
-    whole = copies.withColumn("whole", F.lit(True))
-    joined = narrow.join(whole, "k", "left").join(partly, "k", "left")
+    joined = narrow.join(copies, "k", "left").join(partly, "k", "left")
     return joined.select(
         F.col("id").alias(id_col),
         "k",
@@ -394,3 +397,35 @@ def mark_repeats(
         F.when(F.col("whole"), nothing).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
         F.when(F.col("whole"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
+
+
+def remove_repeats(
+    df: DataFrame, length: int = 400, text_col: str = "text", chars_col: str | None = None, phrase: int = PHRASE
+) -> DataFrame:
+    """df with its repeats removed from `text_col`; characters that a cut would split go too, null texts stay null.
+
+    `chars_col` names a column that holds the number of characters, if there is one.
+    """
+    if length <= TRIGGER:
+        raise ValueError(f"length must be above {TRIGGER}")
+    ship(df.sparkSession)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    text = names[df.columns.index(text_col)]
+    rows = df.toDF(*names).withColumn("k", F.xxhash64(F.coalesce(text, F.lit(""))))
+    copies, partly = _found(_with_key(df, text_col, text_col), length, phrase)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([x.decode(errors="ignore") for x in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), texts], names=["k", "left"])
+
+    cut = partly.select("k", "kept").mapInArrow(whole, "k long, left string")
+    joined = rows.join(copies, "k", "left").join(cut, "k", "left")
+    clean = F.when(F.col("whole"), "").when(F.col("left").isNotNull(), F.col("left")).otherwise(F.col(text))
+    joined = joined.withColumn(text, clean)
+    if chars_col is not None:
+        chars = names[df.columns.index(chars_col)]
+        changed = F.col("whole").isNotNull() | F.col("left").isNotNull()
+        kind = df.schema[chars_col].dataType
+        joined = joined.withColumn(chars, F.when(changed, F.length(text).cast(kind)).otherwise(F.col(chars)))
+    return joined.select(*names).toDF(*df.columns)
