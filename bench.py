@@ -40,6 +40,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", "/tmp/checkpoints")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -6,7 +6,7 @@ builds the Spark side and the checking query.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -111,3 +111,21 @@ PARTS = Case(
     categorical=("p_brand", "p_type"),
     top_k=30,
 )
+
+# Single-table operators run on all rows.
+EVERY_LINEITEM = replace(LINEITEM, reference="true", current="true", shifted={})
+EVERY_EVENT = replace(EVENTS, reference="true", current="true", shifted={})
+EVERY_DOCUMENT = replace(DOCUMENT_LENGTHS, reference="true", current="true")
+EVERY_PART = replace(PARTS, reference="true", current="true")
+
+# Columns with few distinct values, whose quantiles a sketch of a small error finds exactly.
+LINEITEM_SKETCHED = replace(
+    LINEITEM, numeric=("l_discount", "l_tax"), shifted={"l_discount": "l_discount * CAST(1.3 AS DOUBLE)"}
+)
+
+LABELS = Case(
+    table="labels",
+    reference="doc_id % 2 = 0",
+    current="doc_id % 2 = 1",
+    numeric=("doc_id", "quality", "toxic"),
+)

@@ -13,15 +13,21 @@ from checks.cases import (
     DOCUMENT_LENGTHS,
     DOCUMENTS,
     EVENTS,
+    EVERY_DOCUMENT,
+    EVERY_EVENT,
+    EVERY_LINEITEM,
+    EVERY_PART,
+    LABELS,
     LINEITEM,
     LINEITEM_MILD,
+    LINEITEM_SKETCHED,
     ORDERS,
     PARTS,
     Case,
     table,
 )
 from checks.sql import chain, r
-from tidemark import Monitor, Settings, TableStore, fit_baseline, profile_table
+from tidemark import Monitor, Settings, TableStore, fit_baseline, profile_table, validate
 from tidemark.functions import severity as s
 from tidemark.functions.values import key_label, number, share
 from tidemark.operators import categories, counting, curves, divergence, features, quantiles, schema_diff
@@ -95,7 +101,7 @@ def parquet_roundtrip(spark, sf_dir):
 
 
 PROFILE_SQL = chain(
-    EVENTS,
+    EVERY_EVENT,
     """SELECT feature AS feature_name, 'numeric' AS feature_type, count(v) AS count, count(*) AS total_count,
               count(*) - count(v) AS null_count, (count(*) - count(v)) / count(*) AS null_proportion,
               min(v) AS min, max(v) AS max, CAST(NULL AS BIGINT) AS cardinality,
@@ -105,17 +111,21 @@ PROFILE_SQL = chain(
        SELECT feature, 'categorical', CAST(sum(CASE WHEN key IS NOT NULL THEN n ELSE 0 END) AS BIGINT),
               CAST(sum(n) AS BIGINT), CAST(sum(CASE WHEN key IS NULL THEN n ELSE 0 END) AS BIGINT),
               sum(CASE WHEN key IS NULL THEN n ELSE 0 END) / sum(n), NULL, NULL, count(*),
-              least(1000, count(*) FILTER (WHERE n < 0.01 * total))
+              count(*) FILTER (WHERE n < 0.01 * total)
        FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS total FROM ref_counts) GROUP BY feature""",
 )
 
 
 @register("profile_roundtrip", PROFILE_SQL)
 def profile_roundtrip(spark, sf_dir):
-    monitor = Monitor(EVENTS.settings(), spark).fit(EVENTS.reference_df(spark, sf_dir))
     path = scratch(spark)
-    monitor.save_baseline(path)
-    return Baseline.load(spark, monitor.store, path).profile.select(
+    with Monitor(EVERY_EVENT.settings(), spark) as monitor:
+        monitor.fit(EVERY_EVENT.reference_df(spark, sf_dir)).save_baseline(path)
+    loaded = Baseline.load(spark, monitor.store, path)
+    rare = loaded.rare.groupBy("feature").agg(F.count("*").alias("rare_categories"))
+    profile = loaded.profile.join(rare, F.col("feature_name") == F.col("feature"), "left")
+    rare = F.when(F.col("feature_type") == "categorical", F.coalesce("rare_categories", F.lit(0)))
+    return profile.select(
         "feature_name",
         "feature_type",
         "count",
@@ -125,7 +135,7 @@ def profile_roundtrip(spark, sf_dir):
         "min",
         "max",
         "cardinality",
-        F.size("rare_categories").cast("bigint").alias("rare_categories"),
+        rare.alias("rare_categories"),
     )
 
 
@@ -255,18 +265,12 @@ def null_rates(spark, sf_dir):
     return rounded(schema_diff.null_rates(shifted))
 
 
-@register(
-    "new_categories",
-    chain(
-        ORDERS,
-        """SELECT feature, category, n FROM (
-             SELECT c.feature, coalesce(c.key, '__MISSING__') AS category, c.n,
-                    row_number() OVER (PARTITION BY c.feature ORDER BY c.n DESC, c.key NULLS FIRST) AS position
-             FROM cur_counts c WHERE NOT EXISTS (
-               SELECT 1 FROM ref_counts k WHERE k.feature = c.feature AND k.key IS NOT DISTINCT FROM c.key))
-           WHERE position <= 1000""",
-    ),
-)
+NEW_CATEGORIES = """SELECT c.feature, coalesce(c.key, '__MISSING__') AS category, c.n
+           FROM cur_counts c WHERE NOT EXISTS (
+             SELECT 1 FROM ref_counts k WHERE k.feature = c.feature AND k.key IS NOT DISTINCT FROM c.key)"""
+
+
+@register("new_categories", chain(ORDERS, NEW_CATEGORIES))
 def new_categories(spark, sf_dir):
     return categories.new_categories(
         ORDERS.reference_df(spark, sf_dir), ORDERS.current_df(spark, sf_dir), ORDERS.categorical
@@ -277,23 +281,42 @@ def new_categories(spark, sf_dir):
     "new_categories_many",
     """SELECT 'c_name' AS feature, c_name AS category, count(*) AS n FROM customer
        WHERE c_acctbal >= 0 AND c_name NOT IN (SELECT c_name FROM customer WHERE c_acctbal < 0)
-       GROUP BY c_name ORDER BY n DESC, category LIMIT 1000""",
+       GROUP BY c_name""",
 )
 def new_categories_many(spark, sf_dir):
-    """More new categories than are listed: the list is the 1000 most frequent, ties by name."""
+    """A new category in nearly every row: all of them."""
     df = table(spark, sf_dir, "customer")
     return categories.new_categories(df.filter("c_acctbal < 0"), df.filter("c_acctbal >= 0"), ["c_name"])
 
 
+@register(
+    "validate",
+    f"""WITH ref AS (SELECT * FROM customer), cur AS (SELECT * REPLACE (CASE WHEN c_acctbal >= 0 THEN c_mktsegment
+               ELSE 'OVERDRAWN' END AS c_mktsegment) FROM customer)
+        SELECT * FROM (VALUES ('c_name', 'missing', 'string > -', NULL), ('c_region', 'unexpected', '- > string', NULL),
+               ('c_nationkey', 'type_changed', 'int > string', NULL)) AS t(feature, finding, detail, n)
+        UNION ALL
+        SELECT 'c_mktsegment', 'new_category', c_mktsegment, count(*) FROM cur
+        WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM ref) GROUP BY c_mktsegment""",
+)
+def validated(spark, sf_dir):
+    """Schema, null rates and new categories of two tables by one call."""
+    segment = F.expr("CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE 'OVERDRAWN' END")
+    current = table(spark, sf_dir, "customer").withColumn("c_mktsegment", segment)
+    current = current.drop("c_name").withColumn("c_region", F.lit("here"))
+    current = current.withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
+    return validate(table(spark, sf_dir, "customer"), current).findings()
+
+
 # ---- numeric columns
 
 
 @register(
     "quantiles",
-    chain(LINEITEM, "SELECT feature, CAST(i AS INTEGER) AS i, v AS quantile FROM q"),
+    chain(EVERY_LINEITEM, "SELECT feature, CAST(i AS INTEGER) AS i, v AS quantile FROM q"),
 )
 def exact_quantiles(spark, sf_dir):
-    found = quantiles.exact_quantiles(LINEITEM.reference_df(spark, sf_dir), LINEITEM.numeric, sql.BINS)
+    found = quantiles.exact_quantiles(EVERY_LINEITEM.reference_df(spark, sf_dir), EVERY_LINEITEM.numeric, sql.BINS)
     return found.select("feature", F.posexplode("quantiles").alias("i", "quantile"))
 
 
@@ -303,14 +326,14 @@ SKETCH_ERROR = 0.01
 @register(
     "quantile_sketch_error",
     chain(
-        LINEITEM,
+        EVERY_LINEITEM,
         f"SELECT DISTINCT feature, CAST(i AS INTEGER) AS i, true AS within_error FROM ref_numbers, range(0, {sql.BINS + 1}) t(i)",
     ),
 )
 def quantile_sketch_error(spark, sf_dir):
     """For every sketched quantile: is its rank within the allowed error? Counted over the whole table."""
-    df = LINEITEM.reference_df(spark, sf_dir)
-    found = quantiles.quantile_vectors(df, LINEITEM.numeric, sql.BINS, SKETCH_ERROR)
+    df = EVERY_LINEITEM.reference_df(spark, sf_dir)
+    found = quantiles.quantile_vectors(df, EVERY_LINEITEM.numeric, sql.BINS, SKETCH_ERROR)
 
     def within(name: str, i: int, value: float):
         n, target = F.count(name), F.count(name) * i / sql.BINS
@@ -329,14 +352,14 @@ def quantile_sketch_error(spark, sf_dir):
 @register(
     "numeric_edges",
     chain(
-        LINEITEM,
+        EVERY_LINEITEM,
         """SELECT feature, CAST(k - 1 AS INTEGER) AS position,
                   CASE WHEN k = 1 THEN '-inf' WHEN k = m THEN 'inf' ELSE CAST(round(v, 2) AS VARCHAR) END AS edge
            FROM placed""",
     ),
 )
 def numeric_edges(spark, sf_dir):
-    edges = quantiles.edge_table(spark, reference_edges(LINEITEM, spark, sf_dir))
+    edges = quantiles.edge_table(spark, reference_edges(EVERY_LINEITEM, spark, sf_dir))
     text = (
         F.when(F.col("edge") == float("-inf"), "-inf")
         .when(F.col("edge") == float("inf"), "inf")
@@ -365,10 +388,10 @@ HISTOGRAM_SQL = f"""SELECT feature, ord, count(*) AS n,
     {r('count(*) / sum(count(*)) OVER (PARTITION BY feature)')} AS p FROM {{bins}} GROUP BY feature, ord"""
 
 
-@register("numeric_histogram", chain(LINEITEM, HISTOGRAM_SQL.format(bins="ref_bins")))
+@register("numeric_histogram", chain(EVERY_LINEITEM, HISTOGRAM_SQL.format(bins="ref_bins")))
 def histogram(spark, sf_dir):
-    edges = reference_edges(LINEITEM, spark, sf_dir)
-    return rounded(numeric_histogram(LINEITEM.reference_df(spark, sf_dir), edges))
+    edges = reference_edges(EVERY_LINEITEM, spark, sf_dir)
+    return rounded(numeric_histogram(EVERY_LINEITEM.reference_df(spark, sf_dir), edges))
 
 
 @register("bins_with_reference_edges", chain(LINEITEM, HISTOGRAM_SQL.format(bins="cur_bins")))
@@ -403,7 +426,7 @@ def numeric_stats(spark, sf_dir):
 @register(
     "numeric_profile",
     chain(
-        DOCUMENT_LENGTHS,
+        EVERY_DOCUMENT,
         f"""SELECT 'n_chars' AS feature, ord, n, {r('n / sum(n) OVER ()')} AS p,
                    (SELECT {r('min(v)')} FROM ref_numbers) AS min, (SELECT {r('max(v)')} FROM ref_numbers) AS max
             FROM (SELECT ord, count(*) AS n FROM ref_bins GROUP BY ord)""",
@@ -411,7 +434,7 @@ def numeric_stats(spark, sf_dir):
 )
 def numeric_profile(spark, sf_dir):
     profile = profile_table(
-        DOCUMENT_LENGTHS.reference_df(spark, sf_dir),
+        EVERY_DOCUMENT.reference_df(spark, sf_dir),
         Settings(numeric_features=["n_chars"], exact_quantiles=True),
     )
     return rounded(
@@ -447,13 +470,13 @@ def category_counts(spark, sf_dir):
 @register(
     "category_topk",
     chain(
-        EVENTS,
+        EVERY_EVENT,
         """SELECT feature, coalesce(key, '__MISSING__') AS category, n, CAST(position AS INTEGER) AS position
            FROM ref_ranked WHERE position <= 20""",
     ),
 )
 def category_topk(spark, sf_dir):
-    counts = counting.category_counts(EVENTS.reference_df(spark, sf_dir), EVENTS.categorical)
+    counts = counting.category_counts(EVERY_EVENT.reference_df(spark, sf_dir), EVERY_EVENT.categorical)
     return categories.most_frequent(counts, 20).select(
         "feature", key_label(F.col("kind"), F.col("key")).alias("category"), "n", "position"
     )
@@ -462,15 +485,14 @@ def category_topk(spark, sf_dir):
 @register(
     "category_rare",
     chain(
-        PARTS,
-        f"""SELECT feature, key AS category, n, {r('n / total')} AS p FROM (
-              SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, key NULLS FIRST) AS place
-              FROM (SELECT feature, key, n, sum(n) OVER (PARTITION BY feature) AS total FROM ref_counts)
-              WHERE n / total < 0.04) WHERE place <= 1000""",
+        EVERY_PART,
+        f"""SELECT feature, key AS category, n, {r('n / total')} AS p
+            FROM (SELECT feature, key, n, sum(n) OVER (PARTITION BY feature) AS total FROM ref_counts)
+            WHERE n / total < 0.04""",
     ),
 )
 def category_rare(spark, sf_dir):
-    counts = counting.category_counts(PARTS.reference_df(spark, sf_dir), PARTS.categorical)
+    counts = counting.category_counts(EVERY_PART.reference_df(spark, sf_dir), EVERY_PART.categorical)
     rare = categories.rare_categories(counts, categories.category_totals(counts), 0.04)
     return rounded(rare.select("feature", F.col("key").alias("category"), "n", "p"))
 
@@ -489,18 +511,15 @@ def category_projection(spark, sf_dir):
 
 @register("category_projection_joined", PROJECTION_SQL)
 def category_projection_joined(spark, sf_dir):
-    """The way taken when there are too many known categories to test them in the scan."""
+    """The way taken with known_in_scan=False: known categories are joined."""
     return _projection(spark, sf_dir, in_scan=False)
 
 
 def _projection(spark, sf_dir, in_scan: bool) -> DataFrame:
-    settings = Settings(categorical_features=EVENTS.categorical, categorical_top_k=20)
+    settings = Settings(categorical_features=EVENTS.categorical, categorical_top_k=20, known_in_scan=in_scan)
     baseline = fit_baseline(EVENTS.reference_df(spark, sf_dir), settings)
     counts = categories.projected_counts(
-        EVENTS.current_df(spark, sf_dir),
-        baseline.known,
-        EVENTS.categorical,
-        baseline.known_lists if in_scan else None,
+        EVENTS.current_df(spark, sf_dir), baseline.known, EVENTS.categorical, baseline.known_lists
     )
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     return rounded(
@@ -516,13 +535,13 @@ def _projection(spark, sf_dir, in_scan: bool) -> DataFrame:
 @register(
     "category_profile",
     chain(
-        PARTS,
+        EVERY_PART,
         f"""SELECT feature, key AS category, n, {r('n / sum(n) OVER (PARTITION BY feature)')} AS p FROM ref_categories""",
     ),
 )
 def category_profile(spark, sf_dir):
-    settings = Settings(categorical_features=PARTS.categorical, categorical_top_k=PARTS.top_k)
-    profile = profile_table(PARTS.reference_df(spark, sf_dir), settings)
+    settings = Settings(categorical_features=EVERY_PART.categorical, categorical_top_k=EVERY_PART.top_k)
+    profile = profile_table(EVERY_PART.reference_df(spark, sf_dir), settings)
     return rounded(profile_bins(profile).select("feature", F.col("key").alias("category"), "n", "p"))
 
 
@@ -545,14 +564,14 @@ def profile_on_baseline(spark, sf_dir):
 @register(
     "category_missing",
     chain(
-        EVENTS,
+        EVERY_EVENT,
         f"""SELECT feature, CAST(sum(n) AS BIGINT) AS total_count,
                    CAST(sum(CASE WHEN key IS NULL THEN n ELSE 0 END) AS BIGINT) AS null_count
             FROM cur_counts GROUP BY feature""",
     ),
 )
 def category_missing(spark, sf_dir):
-    counts = counting.category_counts(EVENTS.current_df(spark, sf_dir), EVENTS.categorical)
+    counts = counting.category_counts(EVERY_EVENT.current_df(spark, sf_dir), EVERY_EVENT.categorical)
     return categories.category_totals(counts).drop("cardinality")
 
 
@@ -685,7 +704,8 @@ def consensus(spark, sf_dir):
     chain(
         ORDERS,
         f"""SELECT feature, CAST(consensus_level AS INTEGER) AS consensus_level, {r('new_category_share')} AS share,
-                   severity_score AS level, severity_score AS score,
+                   severity_score AS score,
+                   greatest(severity_score, CASE WHEN feature = 'o_orderstatus' THEN 4 ELSE 0 END) AS with_schema_issue,
                    ['none', 'low', 'medium', 'high', 'critical'][severity_score + 1] AS severity FROM scored""",
     ),
 )
@@ -696,8 +716,8 @@ def structural_escalation(spark, sf_dir):
             "feature",
             "consensus_level",
             F.col("new_category_share").alias("share"),
-            F.expr(level).alias("level"),
             F.expr(level).alias("score"),
+            F.expr(s.escalate("consensus_level", "new_category_share", "feature = 'o_orderstatus'")).alias("with_schema_issue"),
             F.expr(s.label(level)).alias("severity"),
         )
     )
@@ -772,6 +792,81 @@ _feature_metrics("feature_metrics_document_lengths", DOCUMENT_LENGTHS)
 _feature_metrics("feature_metrics_parts", PARTS)
 
 
+@register("feature_metrics_sketched", chain(LINEITEM_SKETCHED, FEATURE_METRICS))
+def feature_metrics_sketched(spark, sf_dir):
+    """Sketched quantiles, as fit takes them by default."""
+    case = LINEITEM_SKETCHED
+    settings = case.settings(exact_quantiles=False, relative_error=0.0005)
+    monitor = Monitor(settings, spark).fit(case.reference_df(spark, sf_dir))
+    return rounded(monitor.compare(case.current_df(spark, sf_dir)).feature_metrics)
+
+
+SCHEMA_POLICY_SQL = f"""SELECT feature_name, {{severity}} AS severity,
+    CASE WHEN feature_name <> 'l_tax' THEN {r('psi')} END AS psi FROM ordered {{rows}}"""
+
+
+def _schema_policy(policy: str, severity: str, rows: str) -> None:
+    @register(f"schema_policy_{policy}", chain(LINEITEM, SCHEMA_POLICY_SQL.format(severity=severity, rows=rows)))
+    def query(spark, sf_dir):
+        """A watched column gone and one of another type."""
+        monitor = Monitor(LINEITEM.settings(schema_policy=policy), spark).fit(LINEITEM.reference_df(spark, sf_dir))
+        current = LINEITEM.current_df(spark, sf_dir).drop("l_tax")
+        current = current.withColumn("l_linenumber", F.col("l_linenumber").cast("string"))
+        return rounded(monitor.compare(current).feature_metrics.select("feature_name", "severity", "psi"))
+
+
+_schema_policy("critical", "CASE WHEN feature_name IN ('l_tax', 'l_linenumber') THEN 'critical' ELSE severity END", "")
+_schema_policy("ignore", "severity", "WHERE feature_name <> 'l_tax'")
+
+
+@register(
+    "metric_selection",
+    chain(
+        LINEITEM,
+        f"""SELECT feature AS feature_name, 'js' AS primary_metric, {r('js')} AS primary_value, {r('js')} AS js,
+                   {r('ks_approx')} AS ks_approx, CAST(NULL AS DOUBLE) AS psi,
+                   CAST(CASE WHEN js_level >= 3 AND ks_level >= 3 THEN 3
+                             WHEN js_level >= 2 AND ks_level >= 2 THEN greatest(js_level, 2)
+                             ELSE js_level END AS INTEGER) AS severity_score
+            FROM levels WHERE feature_type = 'numeric'""",
+    ),
+)
+def metric_selection(spark, sf_dir):
+    """Two metrics only; the first one given is the primary one."""
+    settings = LINEITEM.settings(categorical_features=(), metrics_numeric=("js", "ks_approx"))
+    monitor = Monitor(settings, spark).fit(LINEITEM.reference_df(spark, sf_dir))
+    rows = monitor.compare(LINEITEM.current_df(spark, sf_dir)).feature_metrics
+    names = ("feature_name", "primary_metric", "primary_value", "js", "ks_approx", "psi", "severity_score")
+    return rounded(rows.select(*names))
+
+
+@register("features_resolved_once", chain(LABELS, f"SELECT feature_name, feature_type, {r('psi')} AS psi FROM ordered"))
+def features_resolved_once(spark, sf_dir):
+    """Features are inferred at fit; a column that only the current table has is not watched."""
+    settings = Settings(infer_features=True, exact_quantiles=True)
+    monitor = Monitor(settings, spark).fit(LABELS.reference_df(spark, sf_dir))
+    current = LABELS.current_df(spark, sf_dir).withColumn("extra", F.lit(1))
+    return rounded(monitor.compare(current).feature_metrics.select("feature_name", "feature_type", "psi"))
+
+
+@register(
+    "row_weighted_new_categories",
+    chain(
+        ORDERS,
+        f"""SELECT feature AS feature_name,
+                   CASE WHEN feature_type = 'categorical' THEN {r('new_category_row_share')} ELSE 0 END AS new_category_share,
+                   CAST(CASE WHEN feature_type = 'numeric' THEN consensus_level
+                             WHEN new_category_row_share >= 0.2 THEN 4
+                             WHEN new_category_row_share >= 0.1 THEN greatest(consensus_level, 3)
+                             ELSE consensus_level END AS INTEGER) AS severity_score FROM agreed""",
+    ),
+)
+def row_weighted_new_categories(spark, sf_dir):
+    monitor = Monitor(ORDERS.settings(new_category_weight="rows"), spark).fit(ORDERS.reference_df(spark, sf_dir))
+    rows = monitor.compare(ORDERS.current_df(spark, sf_dir)).feature_metrics
+    return rounded(rows.select("feature_name", "new_category_share", "severity_score"))
+
+
 @register("dataset_summary", chain(LINEITEM, sql.DATASET_SUMMARY))
 def dataset_summary(spark, sf_dir):
     return rounded(report(LINEITEM, spark, sf_dir).dataset_summary)

@@ -36,15 +36,17 @@ def test_no_other_when_everything_is_listed(spark):
 
 def test_rare_categories(spark):
     df = texts(spark, ["a"] * 500 + ["r2"] * 2 + ["r1"] * 2 + ["r0"])
-    (row,) = profile_table(df, Settings(categorical_features=["c"])).collect()
-    assert row["rare_categories"] == ["r1", "r2", "r0"]
+    rare = fit_baseline(df, Settings(categorical_features=["c"])).rare
+    assert rows(rare.select("category", "n")) == [dict(category="r0", n=1), dict(category="r1", n=2), dict(category="r2", n=2)]
 
 
-def test_rare_list_is_the_thousand_most_frequent(spark):
-    df = spark.range(3000).selectExpr("CAST(id % 1500 AS STRING) AS c")
-    (row,) = profile_table(df, Settings(categorical_features=["c"])).collect()
-    assert row["rare_categories"] == sorted(str(i) for i in range(1500))[:1000]
-    assert row["cardinality"] == 1500
+def test_all_rare_and_new_categories_are_listed(spark):
+    df = spark.range(10_000).selectExpr("CAST(id % 5000 AS STRING) AS c")
+    baseline = fit_baseline(df, Settings(categorical_features=["c"]))
+    assert baseline.rare.count() == 5000 and baseline.profile.first()["cardinality"] == 5000
+    assert categories.new_categories(texts(spark, ["x"]), df, ["c"]).count() == 5000
+    first = categories.new_categories(texts(spark, ["x"]), df, ["c"], listed=3)
+    assert sorted(r["category"] for r in first.collect()) == ["0", "1", "10"]
 
 
 def test_labels_as_ordinary_values_stay_apart(spark):
@@ -76,9 +78,8 @@ def test_both_ways_of_projection_agree(spark, reference):
     assert sum(r["n"] for r in found[0]) == 6 and sum(r["n_valued"] for r in found[0]) == 4
 
 
-def test_long_lists_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(categories, "KNOWN_KEYS_IN_SCAN", 1)
-    settings = Settings(categorical_features=["c"])
+def test_known_categories_may_be_joined(spark):
+    settings = Settings(categorical_features=["c"], known_in_scan=False)
     baseline = fit_baseline(texts(spark, ["a", "a", "b"]), settings)
     assert baseline.known_lists is None
     (row,) = compare(texts(spark, ["a", "b", "n"]), baseline, settings).feature_metrics.collect()

@@ -40,11 +40,24 @@ def test_density_curve(samples):
         assert [r["density"] for r in found] == pytest.approx(wanted.tolist(), rel=1e-9)
 
 
-def test_density_curve_with_gaps(spark):
-    """Points that no kernel reaches have density 0."""
+def test_density_far_from_all_values(spark):
+    """Kernels are added however far away they are."""
     df = spark.range(1000).select(F.when(F.col("id") < 999, F.col("id") / 1000).otherwise(1000.0).alias("x"))
+    values = np.append(np.arange(999) / 1000, 1000.0)
+    h = np.std(values, ddof=1) * 1000**-0.2
     found = curves.density_curve(df, "x").collect()
-    assert len(found) == 200 and min(r["density"] for r in found) == 0
+    assert len(found) == 200
+    for row in found:
+        wanted = np.exp(-0.5 * ((row["x"] - values) / h) ** 2).sum() / (1000 * h * np.sqrt(2 * np.pi))
+        assert row["density"] == pytest.approx(wanted, rel=1e-6, abs=0)
+
+
+def test_infinite_values_have_no_even_range(spark):
+    df = spark.sql("SELECT explode(array(1D, 2D, DOUBLE('inf'))) AS x")
+    for curve in (curves.density_histogram, curves.density_curve):
+        with pytest.raises(ValueError, match="infinite"):
+            curve(df, "x")
+    assert curves.ecdf(df, "x").count() == 3
 
 
 def test_ecdf(samples):

@@ -1,9 +1,12 @@
+import os
+
 import pytest
 
 from conftest import SF_SMALL, rows
 from tidemark import Baseline, Monitor, Settings, TableStore, compare
 from tidemark.plans.profiling import PROFILE_SCHEMA
-from tidemark.sources.shared import pin, shared_folder
+from tidemark.operators import curves, quantiles
+from tidemark.sources.shared import Scratch, shared_folder
 from tidemark.sources.tables import literal_table, read_csv
 
 
@@ -43,9 +46,26 @@ def test_literal_table(spark):
 
 def test_pinned_table_is_written_to_the_shared_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-    pinned = pin(spark.range(5))
+    scratch = Scratch(spark)
+    pinned = scratch.pin(spark.range(5))
     assert pinned.count() == 5
     assert all(shared_folder(spark) in f for f in pinned.inputFiles())
+    scratch.close()
+    assert not scratch.paths and not any(os.path.exists(f.removeprefix("file://")) for f in pinned.inputFiles())
+
+
+def test_nothing_is_left_behind(spark, tmp_path):
+    folder = str(tmp_path / "shared")
+    df = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    before = sorted(os.listdir(shared_folder(spark)))
+    with Monitor(Settings(infer_features=True, exact_quantiles=True), spark, folder=folder) as monitor:
+        monitor.fit(df).compare(df).dataset_summary.collect()
+        assert os.listdir(folder)
+    assert os.listdir(folder) == []
+    curves.ecdf(df, "o_totalprice").collect()
+    curves.ks_exact(df, df, "o_totalprice").collect()
+    quantiles.exact_quantiles(df, ["o_totalprice"], 10).collect()
+    assert sorted(os.listdir(shared_folder(spark))) == before
 
 
 def test_saved_baseline_compares_like_the_fitted_one(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from .plans.monitor import Baseline, Monitor, compare, fit_baseline, profile_table
 from .plans.report import Report
+from .plans.validation import Validation, validate
 from .settings import Settings
 from .sources.tables import TableStore
 
@@ -11,7 +12,9 @@ __all__ = [
     "Report",
     "Settings",
     "TableStore",
+    "Validation",
     "compare",
     "fit_baseline",
     "profile_table",
+    "validate",
 ]

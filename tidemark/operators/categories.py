@@ -9,16 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.values import ABSENT, REST, key_label, share
 from .counting import category_counts, category_counts_of_two, known_category_counts
 
-# Fixed value: how many rare or new categories are listed per feature.
-LISTED_CATEGORIES = 1000
-
 # How many tasks share the ranking of one feature's categories before the last step.
 TOP_K_LANES = 64
 
-# Up to these bounds known categories are tested in the scan, beyond them they are joined.
-KNOWN_KEYS_IN_SCAN = 5_000
-KNOWN_CHARACTERS_IN_SCAN = 2_000_000
-
 
 def category_totals(counts: DataFrame) -> DataFrame:
     """feature, total_count, null_count, cardinality (the missing category counts as one)."""
@@ -46,9 +39,12 @@ def most_frequent(counts: DataFrame, k: int) -> DataFrame:
 
 
 def rare_categories(
-    counts: DataFrame, totals: DataFrame, threshold: float, listed: int = LISTED_CATEGORIES
+    counts: DataFrame, totals: DataFrame, threshold: float, listed: int | None = None
 ) -> DataFrame:
-    """feature, kind, key, n, p of the categories with a share below threshold, most frequent first."""
+    """feature, kind, key, n, p of all categories with a share below threshold.
+
+    With `listed`, only that many per feature, with their position, most frequent first.
+    """
     rare = (
         # totals has one row per feature, so its size is bounded by the width of the schema
         counts.join(F.broadcast(totals.select("feature", "total_count")), "feature")
@@ -56,7 +52,7 @@ def rare_categories(
         .filter(F.col("p") < F.lit(threshold))
         .drop("total_count")
     )
-    return most_frequent(rare, listed)
+    return rare if listed is None else most_frequent(rare, listed)
 
 
 def category_bins(entries: DataFrame, totals: DataFrame) -> DataFrame:
@@ -90,13 +86,8 @@ def category_bins(entries: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def few_enough(keys: int, characters: int) -> bool:
-    """May this many known keys, of this length together, be written into a scan?"""
-    return keys <= KNOWN_KEYS_IN_SCAN and characters <= KNOWN_CHARACTERS_IN_SCAN
-
-
 def key_lists(known: DataFrame) -> dict[str, dict[str, list[str]]]:
-    """The known keys (feature, kind, key) as {feature: {kind: keys}}; only where they are few_enough."""
+    """The known keys (feature, kind, key) as {feature: {kind: keys}}: top_k per feature, as the settings say."""
     lists: dict[str, dict[str, list[str]]] = {}
     for row in known.collect():
         lists.setdefault(row["feature"], {}).setdefault(row["kind"], []).append(row["key"])
@@ -108,8 +99,8 @@ def projected_counts(
 ) -> DataFrame:
     """Counts of df's categories on a known list (feature, kind, key), the rest summed as 'other'.
 
-    lists: the same list as made by key_lists, if there are few_enough keys. Without it the list is joined, after
-    counting, whatever its size. A feature without known categories has only 'other'.
+    lists: the same list as made by key_lists, to be tested in the scan. Without it the list is joined, after
+    counting. A feature without known categories has only 'other'.
     Result: feature, kind, key, n, n_valued.
     """
     if lists is not None:
@@ -143,20 +134,20 @@ def project(counts: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def new_categories(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], listed: int = LISTED_CATEGORIES
+    reference: DataFrame, current: DataFrame, features: Sequence[str], listed: int | None = None
 ) -> DataFrame:
-    """feature, category, n: categories of current that reference never has, most frequent first.
+    """feature, category, n: all categories of current that reference never has.
 
-    Both sides are counted together, which takes one shuffle of the categories and no join.
+    Both sides are counted together, which takes one shuffle of the categories and no join. With `listed`,
+    only that many per feature, the most frequent ones.
     """
     unseen = (
         category_counts_of_two(reference, current, features)
         .filter("n_ref = 0 AND n_cur > 0")
         .withColumnRenamed("n_cur", "n")
     )
-    return most_frequent(unseen, listed).select(
-        "feature", key_label(F.col("kind"), F.col("key")).alias("category"), "n"
-    )
+    wanted = unseen if listed is None else most_frequent(unseen, listed)
+    return wanted.select("feature", key_label(F.col("kind"), F.col("key")).alias("category"), "n")
 
 
 def new_category_share() -> Column:

@@ -110,15 +110,20 @@ def _known_cell(position: int, known: Mapping[str, Sequence[str]]) -> Column:
     )
 
 
-def _bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
+def binned_cells(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
+    """position, ord, value: every number of the columns with its bin."""
     names = list(edges)
     values = df.select(*[number(x).alias(f"v{i}") for i, x in enumerate(names)])
     binned = _with_bins(values, {f"b{i}": (F.col(f"v{i}"), edges[x]) for i, x in enumerate(names)})
     cells = ", ".join(
         f"named_struct('position', {i}, 'ord', b{i}, 'value', v{i})" for i in range(len(names))
     )
+    return binned.selectExpr(f"inline(array({cells}))")
+
+
+def _bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
     return (
-        binned.selectExpr(f"inline(array({cells}))")
+        binned_cells(df, edges)
         .groupBy("position", "ord")
         .agg(
             F.count("*").alias("n"),
@@ -126,7 +131,7 @@ def _bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFram
             F.min("value").alias("lo"),
             F.max("value").alias("hi"),
         )
-        .select(name_at(names), "ord", "n", "n_valued", "lo", "hi")
+        .select(name_at(list(edges)), "ord", "n", "n_valued", "lo", "hi")
     )
 
 

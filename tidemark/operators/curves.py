@@ -5,31 +5,33 @@ All take one numeric column and leave out null and NaN.
 
 from __future__ import annotations
 
-from math import pi, sqrt
+from math import isfinite, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import number, share
 from ..sources.tables import literal_table
-from .running import with_running_counts
+from .running import cut_points, with_running_counts
 
 # Bins of the histogram, points of the smoothed curve.
 HISTOGRAM_BINS = 30
 CURVE_POINTS = 200
 
-# Beyond this many bandwidths a Gaussian kernel is below 1e-17 of its peak, the last digit of a double.
-KERNEL_REACH = 9
+# Points of the smoothed curve that one row of the scan is added to; a row is repeated for each such group.
+POINTS_PER_GROUP = 20
 
 
 def density_histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """bin, lower, upper, n, density: bins of equal width over the column's own range, with area 1.
 
     Two scans: range and count first (three numbers), then the counts, which are one row per bin and task.
+    A column with infinite values has no bins of equal width and is an error.
     """
     values = _numbers(df, column)
     low, high, total = values.agg(F.min("value"), F.max("value"), F.count("*")).first()
     if total == 0:
         return literal_table(df.sparkSession, [], "bin int, lower double, upper double, n bigint, density double")
+    _require_finite(column, low, high)
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
@@ -54,45 +56,42 @@ def density_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> Dat
     """point, x, density: Gaussian kernel density at evenly spaced points over the column's range.
 
     The bandwidth is Scott's: sample standard deviation times n^(-1/5). Two scans: count, range and
-    deviation first (four numbers), then the kernels. A value contributes only to the points within
-    KERNEL_REACH bandwidths; since the bandwidth shrinks with n, these become few where n is large.
-    Contributions are summed per task and point before the shuffle.
+    deviation first (four numbers), then the kernels of every value at every point, which are summed per task
+    before the shuffle. A column with infinite values has no range and is an error.
     """
     values = _numbers(df, column)
     n, low, high, deviation = values.agg(
         F.count("*"), F.min("value"), F.max("value"), F.stddev_samp("value")
     ).first()
+    if n:
+        _require_finite(column, low, high)
     if n < 2 or not deviation:
         return literal_table(df.sparkSession, [], "point int, x double, density double")
     bandwidth = deviation * n ** -0.2
     step = (high - low) / (points - 1)
+    groups = -(-points // POINTS_PER_GROUP)
 
-    def point_at(offset: float, rounding) -> Column:
-        at = rounding((F.col("value") + F.lit(offset - low)) / F.lit(step)).cast("int")
-        return F.least(F.greatest(at, F.lit(0)), F.lit(points - 1))
-
-    reach = KERNEL_REACH * bandwidth
-    near = F.sequence(point_at(-reach, F.floor), point_at(reach, F.ceil))
-    distance = (F.col("point") * step + F.lit(low) - F.col("value")) / F.lit(bandwidth)
-    sums = (
-        values.select("value", F.explode(near).alias("point"))
-        .groupBy("point")
-        .agg(F.sum(F.exp(distance * distance * F.lit(-0.5))).alias("kernels"))
-    )
+    def kernels(i: int) -> Column:
+        x = F.lit(low) + (F.col("group") * POINTS_PER_GROUP + i) * F.lit(step)
+        distance = (x - F.col("value")) / F.lit(bandwidth)
+        return F.sum(F.exp(distance * distance * F.lit(-0.5)))
+
+    each = values.select("value", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    sums = each.groupBy("group").agg(F.array(*[kernels(i) for i in range(POINTS_PER_GROUP)]).alias("sums"))
     scale = n * bandwidth * sqrt(2 * pi)
-    every = df.sparkSession.range(0, points, 1, 1).select(F.col("id").cast("int").alias("point"))
-    # at most one row per point on either side
-    return every.join(F.broadcast(sums), "point", "left").select(
-        "point",
-        (F.lit(low) + F.col("point") * step).alias("x"),
-        (F.coalesce("kernels", F.lit(0.0)) / scale).alias("density"),
+    point = F.col("group") * POINTS_PER_GROUP + F.col("at")
+    return (
+        sums.select("group", F.posexplode("sums").alias("at", "kernels"))
+        .select(point.alias("point"), (F.lit(low) + point * step).alias("x"), (F.col("kernels") / scale).alias("density"))
+        .filter(F.col("point") < points)
     )
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """value, n, cdf: for every distinct value the share of numbers that do not exceed it."""
-    counts = _numbers(df, column).groupBy("value").agg(F.count("*").alias("n"))
-    return with_running_counts(counts, "value", ["n"]).select(
+    values = _numbers(df, column)
+    counts = values.groupBy("value").agg(F.count("*").alias("n"))
+    return with_running_counts(counts, "value", ["n"], cut_points(values)).select(
         "value", "n", share(F.col("n_upto"), F.col("n_total")).alias("cdf")
     )
 
@@ -111,12 +110,12 @@ def cdf_gap_at(reference: DataFrame, current: DataFrame, column: str, at: float)
 def ks_exact(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """One row: the two-sample Kolmogorov-Smirnov statistic, the smallest value it is reached at,
     and the sizes of the samples. Null where a sample has no numbers."""
+    both = _both_sides(reference, current, column)
     counts = (
-        _both_sides(reference, current, column)
-        .groupBy("value")
+        both.groupBy("value")
         .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     )
-    running = with_running_counts(counts, "value", ["n_ref", "n_cur"])
+    running = with_running_counts(counts, "value", ["n_ref", "n_cur"], cut_points(both.select("value")))
     gap = F.abs(share(F.col("n_ref_upto"), F.col("n_ref_total")) - share(F.col("n_cur_upto"), F.col("n_cur_total")))
     highest = F.max(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), (-F.col("value")).alias("minus_value"))))
     return running.agg(
@@ -126,6 +125,11 @@ def ks_exact(reference: DataFrame, current: DataFrame, column: str) -> DataFrame
     )
 
 
+def _require_finite(column: str, low: float, high: float) -> None:
+    if not (isfinite(low) and isfinite(high)):
+        raise ValueError(f"{column} holds infinite values: its range can't be divided evenly")
+
+
 def _numbers(df: DataFrame, column: str) -> DataFrame:
     return df.select(number(column).alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
 

@@ -8,13 +8,15 @@ from math import ceil, inf, nextafter
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.values import number, without_nan
+from ..functions.values import NO_NUMBER_BIN, number, without_nan
 from ..sources.tables import literal_table
-from .counting import COLUMNS_PER_SCAN, batches, name_at
-from .running import with_running_counts
+from .counting import COLUMNS_PER_SCAN, batches, binned_cells, name_at, numeric_counts
 
-# Sketches of this many input partitions are merged by one task.
-SKETCHES_PER_MERGE = 4096
+# In how many tasks the sketches of one column are merged, before one takes the last step.
+LANES = 64
+
+# Into how many slices of like size a column is cut where its order matters.
+SLICES = 256
 
 
 def quantile_vectors(
@@ -55,81 +57,93 @@ def bin_edges(quantiles: Sequence[float], policy: str = "replace_ends") -> list[
 def sketched_quantiles(
     df: DataFrame, features: Sequence[str], n_bins: int, relative_error: float
 ) -> DataFrame:
-    """feature, quantiles: each within relative_error of its rank. One scan, no shuffle of values.
+    """feature, quantiles: each within relative_error of its rank. No shuffle of values.
 
-    Every task reduces its rows to one sketch per column. To keep the merge off a single task,
-    sketches are merged in lanes of SKETCHES_PER_MERGE input partitions; up to there one lane holds
-    all and its quantiles are the answer. Beyond, each lane hands on an even grid of its quantiles,
-    each standing for an equal share of the lane's rows, and the answer is read off the weighted
-    grids, which adds at most an eighth of the error.
+    Rows are unfolded to (column, value) and reduced to one sketch per column and task. These are merged per column in
+    LANES lanes, however many tasks there are; each lane hands on an even grid of its quantiles, each point standing for an
+    equal share of the lane's rows, and the answer is read off the weighted grids. Half of the allowed error goes to the
+    sketches, half to the grid; the smallest and the largest value are exact.
     """
-    accuracy = ceil(1 / relative_error)
-    steps = 4 * accuracy
+    accuracy = ceil(2 / relative_error)
+    steps = ceil(1 / relative_error)
     probabilities = [i / n_bins for i in range(n_bins + 1)]
-    grid = [(i + 0.5) / steps for i in range(steps)]
-    asked = f"array({', '.join(f'{p!r}D' for p in probabilities + grid)})"
-
-    lane = F.floor(F.spark_partition_id() / F.lit(SKETCHES_PER_MERGE)).alias("lane")
-    values = df.select(lane, *[without_nan(number(x)).alias(f"v{i}") for i, x in enumerate(features)])
-    each = range(len(features))
-    sketches = values.groupBy("lane").agg(
-        *[F.expr(f"percentile_approx(v{i}, {asked}, {accuracy})").alias(f"q{i}") for i in each],
-        *[F.count(f"v{i}").alias(f"n{i}") for i in each],
-    )
-    cells = ", ".join(f"named_struct('position', {i}, 'n', n{i}, 'q', q{i})" for i in each)
-    points = (
-        sketches.selectExpr(f"inline(array({cells}))")
-        .filter("n > 0")
-        .select(
-            name_at(features),
-            (F.col("n") / F.lit(float(steps))).alias("weight"),
-            F.slice("q", 1, n_bins + 1).alias("own"),
-            F.posexplode(F.slice("q", n_bins + 2, steps)).alias("at", "value"),
+    grid = F.expr(f"array({', '.join(f'{(i + 0.5) / steps!r}D' for i in range(steps))})")
+
+    lane = F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane")
+    points = []
+    for names in batches(features, COLUMNS_PER_SCAN):
+        cells = F.array(*[without_nan(number(x)) for x in names])
+        values = df.select(lane, F.posexplode(cells).alias("position", "value")).filter("value IS NOT NULL")
+        points.append(
+            values.groupBy("position", "lane")
+            .agg(
+                F.percentile_approx("value", grid, accuracy).alias("q"),
+                F.count("*").alias("n"),
+                F.min("value").alias("low"),
+                F.max("value").alias("high"),
+            )
+            .select(name_at(names), (F.col("n") / F.lit(float(steps))).alias("weight"), "low", "high", F.explode("q").alias("value"))
         )
-        .withColumn("own", F.when(F.col("at") == 0, F.col("own")))
-    )
     whole = Window.partitionBy("feature")
-    ranked = points.select(
+    ranked = reduce(DataFrame.unionByName, points).select(
         "*",
         F.sum("weight").over(whole.orderBy("value")).alias("upto"),
         F.sum("weight").over(whole).alias("total"),
     )
     # a tiny slack, so that rounding of the weights moves no rank on to the next value
-    merged = [
+    inner = [
         F.min(F.when(F.col("upto") >= (p - 1e-9) * F.col("total"), F.col("value")))
         for p in probabilities[1:-1]
     ]
-    ends = F.min(F.col("own")[0]), F.max(F.col("own")[n_bins])
-    return ranked.groupBy("feature").agg(
-        F.when(F.count("own") == 1, F.max("own"))
-        .otherwise(F.array(ends[0], *merged, ends[1]))
-        .alias("quantiles")
-    )
-
+    return ranked.groupBy("feature").agg(F.array(F.min("low"), *inner, F.max("high")).alias("quantiles"))
 
-def exact_quantiles(df: DataFrame, features: Sequence[str], n_bins: int) -> DataFrame:
-    """feature, quantiles: the smallest value that at least i / n_bins of the numbers do not exceed."""
-    running = with_running_counts(value_counts(df, features), "value", ["n"], ["feature"])
-    reached = [
-        F.min(F.when(F.col("n_upto") * n_bins >= i * F.col("n_total"), F.col("value")))
-        for i in range(n_bins + 1)
-    ]
-    return running.groupBy("feature").agg(F.array(*reached).alias("quantiles"))
 
+def slice_edges(quantiles: Sequence[float]) -> list[float]:
+    """Edges of slices that cover all numbers, from some quantiles of them."""
+    return sorted({-inf, *quantiles[1:], inf})
 
-def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """feature, value, n for every distinct number of the columns; null and NaN are left out."""
 
-    def scan(names: Sequence[str]) -> DataFrame:
-        cells = [F.struct(F.lit(x).alias("feature"), number(x).alias("value")) for x in names]
-        return (
-            df.select(F.inline(F.array(*cells)))
-            .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-            .groupBy("feature", "value")
-            .agg(F.count("*").alias("n"))
-        )
+def exact_quantiles(df: DataFrame, features: Sequence[str], n_bins: int) -> DataFrame:
+    """feature, quantiles: the smallest value that at least i / n_bins of the numbers do not exceed.
 
-    return reduce(DataFrame.unionByName, [scan(part) for part in batches(features, COLUMNS_PER_SCAN)])
+    Sketched quantiles cut each column into slices, whose rows are counted; only the values of those slices that hold a
+    wanted rank are counted one by one and shuffled.
+    """
+    spark = df.sparkSession
+    sketched = quantile_vectors(df, features, SLICES, 1 / (4 * SLICES))
+    edges = {x: slice_edges(q) for x, q in sketched.items() if q}
+    if not edges:
+        return literal_table(spark, [], "feature string, quantiles array<double>")
+    numbers = df.select(*[without_nan(number(x)).alias(x) for x in edges])
+    # slices times columns: a fixed number per column
+    sizes: dict[str, dict[int, int]] = {x: {} for x in edges}
+    for row in numeric_counts(numbers, edges).filter(f"ord <> {NO_NUMBER_BIN}").collect():
+        sizes[row["feature"]][row["ord"]] = row["n"]
+    wanted = []
+    for x, of_slice in sizes.items():
+        total, before = sum(of_slice.values()), 0
+        ranks = [max(1, ceil(i * total / n_bins)) for i in range(n_bins + 1)]
+        for at in sorted(of_slice):
+            inside = [(i, rank - before) for i, rank in enumerate(ranks) if before < rank <= before + of_slice[at]]
+            wanted += [(x, at, i, rank) for i, rank in inside]
+            before += of_slice[at]
+    asked = literal_table(spark, wanted, "feature string, slice int, i int, rank bigint")
+    open_slices = {(x, at) for x, at, _, _ in wanted}
+    parts = []
+    for names in batches(list(edges), COLUMNS_PER_SCAN):
+        keys = [i * SLICES * 2 + at for i, x in enumerate(names) for name, at in open_slices if name == x]
+        cells = binned_cells(numbers, {x: edges[x] for x in names})
+        cells = cells.filter((F.col("position") * SLICES * 2 + F.col("ord")).isin(keys) & (F.col("ord") >= 0))
+        counts = cells.groupBy("position", "ord", "value").agg(F.count("*").alias("n"))
+        parts.append(counts.select(name_at(names), F.col("ord").alias("slice"), "value", "n"))
+    values = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = values.withColumn("upto", F.sum("n").over(order))
+    # asked has n_bins + 1 rows per column
+    reached = running.join(F.broadcast(asked), ["feature", "slice"]).filter("upto >= rank")
+    first = reached.groupBy("feature", "i").agg(F.min("value").alias("value"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"])
+    return first.groupBy("feature").agg(listed.alias("quantiles"))
 
 
 def edge_table(spark: SparkSession, edges: Mapping[str, Sequence[float]]) -> DataFrame:

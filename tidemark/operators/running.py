@@ -6,47 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.shared import pin
+from .counting import add_bin
+from .quantiles import SLICES, quantile_vectors, slice_edges
 
 
-def with_running_counts(
-    counts: DataFrame, value: str, measures: Sequence[str], group: Sequence[str] = ()
-) -> DataFrame:
-    """Add to each (group, value) row the running and the total sum of every measure.
+def cut_points(values: DataFrame) -> list[float]:
+    """Edges of slices of the column `value` that hold about as many rows each; a frequent value may fill more."""
+    found = quantile_vectors(values, ["value"], SLICES, 1 / (4 * SLICES))["value"]
+    return slice_edges(found)
 
-    counts has one row per (group, value), so a value that holds a third of all rows is a single
-    row here. Spark's range partitioner cuts the ordered values into slices of like size; the
-    slice number is written with the rows, so it cannot change when a task is run again. Sums per
-    slice (as many rows as slices) give each slice its starting point, and the running sum itself
-    stays within a slice.
+
+def with_running_counts(counts: DataFrame, value: str, measures: Sequence[str], edges: Sequence[float]) -> DataFrame:
+    """Add to each value's row the running and the total sum of every measure.
+
+    counts has one row per value, so a value that holds a third of all rows is a single row here. A value's slice follows
+    from the edges alone, so it is the same whenever a task is run again. Sums per slice (as many rows as slices) give each
+    slice its starting point, and the running sum itself stays within a slice.
 
     New columns: <m>_upto (sum over all values <= this one) and <m>_total.
     """
-    group = list(group)
-    sliced = pin(
-        counts.repartitionByRange(*[F.col(c) for c in [*group, value]])
-        .withColumn("slice", F.spark_partition_id())
-    )
-    whole = Window.partitionBy(*group, F.lit(0))
+    sliced = add_bin(counts, value, edges, "slice")
+    whole = Window.partitionBy(F.lit(0))
     earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        sliced.groupBy(*group, "slice")
+        sliced.groupBy("slice")
         .agg(*[F.sum(m).alias(m) for m in measures])
         .select(
-            *group,
             "slice",
             *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_before") for m in measures],
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
         )
     )
     within = (
-        Window.partitionBy(*group, "slice")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # starts has at most (number of slices + number of groups) rows, both known to be small
-    return sliced.join(F.broadcast(starts), [*group, "slice"]).select(
-        *group,
+    # starts has one row per slice, a fixed number
+    return sliced.join(F.broadcast(starts), "slice").select(
         value,
         *measures,
         *[(F.sum(m).over(within) + F.col(f"{m}_before")).alias(f"{m}_upto") for m in measures],

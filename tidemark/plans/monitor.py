@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.values import BIN, key_label, share
 from ..operators import categories, divergence
-from ..operators.counting import numeric_counts
+from ..operators.counting import category_counts, numeric_counts
 from ..operators.features import (
     is_numeric,
     present,
@@ -21,7 +21,7 @@ from ..operators.features import (
 from ..operators.quantiles import bin_edges, quantile_vectors
 from ..operators.schema_diff import compare_schemas, schema_changes, schema_table
 from ..settings import Settings
-from ..sources.shared import pin
+from ..sources.shared import Scratch
 from ..sources.tables import TableStore, literal_table
 from .profiling import categorical_profile, known_categories, numeric_profile, profile_bins
 from .report import Report, build_report, feature_metrics
@@ -32,63 +32,81 @@ COUNTS_SCHEMA = (
 
 
 class Baseline:
-    """What is kept of a reference table: its profile (see PROFILE_SCHEMA) and its schema.
+    """What is kept of a reference table: its profile (see PROFILE_SCHEMA), its rare categories and its schema.
 
-    Only what later plans are built from reaches the driver: bin edges, feature names, and the
-    known categories where they are few.
+    Only what later plans are built from reaches the driver: bin edges, feature names, and with
+    known_in_scan the known categories.
     """
 
-    def __init__(self, profile: DataFrame, schema: Mapping[str, str]) -> None:
+    def __init__(
+        self, profile: DataFrame, schema: Mapping[str, str], rare: DataFrame, known_in_scan: bool = True
+    ) -> None:
         self.profile = profile
         self.schema = dict(schema)
+        self.rare = rare
         self.known = known_categories(profile)
 
-        characters = F.aggregate("bins", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + F.length(x["key"]))
-        rows = profile.select(
-            "feature_name", "feature_type", "bin_edges", F.size("bins").alias("keys"), characters.alias("characters")
-        ).collect()
+        rows = profile.select("feature_name", "feature_type", "bin_edges").collect()
         self.edges = {r["feature_name"]: list(r["bin_edges"]) for r in rows if r["feature_type"] == "numeric"}
         listed = [r for r in rows if r["feature_type"] == "categorical"]
         self.categorical = [r["feature_name"] for r in listed]
-        # fetched only where small: {feature: {kind: keys}}, else None
-        few = categories.few_enough(sum(r["keys"] for r in listed), sum(r["characters"] for r in listed))
-        self.known_lists = categories.key_lists(self.known) if few else None
+        # {feature: {kind: keys}}, to be tested in scans; without them the known categories are joined
+        self.known_lists = categories.key_lists(self.known) if known_in_scan else None
 
     def save(self, store: TableStore, path: str, mode: str = "overwrite") -> None:
-        """Two tables below path: the profile, and the schema of the whole reference table."""
+        """Three tables below path: the profile, the rare categories, and the schema of the whole reference table."""
         spark = self.profile.sparkSession
+        store.save(self.rare, f"{path}/rare", mode)
         store.save(self.profile, f"{path}/profile", mode)
         store.save(literal_table(spark, self.schema.items(), "feature string, type string"), f"{path}/schema", mode)
 
     @classmethod
-    def load(cls, spark: SparkSession, store: TableStore, path: str) -> Baseline:
-        schema = store.load(spark, f"{path}/schema").collect()
-        return cls(store.load(spark, f"{path}/profile"), {r["feature"]: r["type"] for r in schema})
+    def load(cls, spark: SparkSession, store: TableStore, path: str, known_in_scan: bool = True) -> Baseline:
+        schema = {r["feature"]: r["type"] for r in store.load(spark, f"{path}/schema").collect()}
+        profile, rare = (store.load(spark, f"{path}/{x}") for x in ("profile", "rare"))
+        return cls(profile, schema, rare, known_in_scan)
 
 
 class Monitor:
     """fit(reference) once, then compare(current) as often as wanted.
 
     Reading: fit scans the watched columns of the reference (numeric ones twice, for edges and for
-    counts), compare scans those of the current table once.
+    counts), compare scans those of the current table once. close(), or the end of a with block, deletes
+    what was written for the baseline and the reports: save or read them before.
     """
 
     def __init__(
-        self, settings: Settings, spark: SparkSession | None = None, store: TableStore | None = None
+        self,
+        settings: Settings,
+        spark: SparkSession | None = None,
+        store: TableStore | None = None,
+        folder: str | None = None,
     ) -> None:
+        """folder: where tables read more than once are written, shared by all executors; without it the one
+        that spark.checkpoint.dir names."""
         self.settings = settings
         self.spark = spark or SparkSession.getActiveSession()
         if self.spark is None:
             raise ValueError("no SparkSession given and none active")
         self.store = store or TableStore("parquet")
+        self.scratch = Scratch(self.spark, folder)
         self.baseline: Baseline | None = None
 
+    def __enter__(self) -> Monitor:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.scratch.close()
+
     def fit(self, reference: DataFrame) -> Monitor:
-        self.baseline = fit_baseline(reference, self.settings)
+        self.baseline = fit_baseline(reference, self.settings, self.scratch)
         return self
 
     def compare(self, current: DataFrame) -> Report:
-        return compare(current, self._fitted(), self.settings)
+        return compare(current, self._fitted(), self.settings, self.scratch)
 
     def schema_changes(self, current: DataFrame) -> DataFrame:
         """feature, status, reference_type, current_type of all columns against the baseline's schema."""
@@ -100,7 +118,7 @@ class Monitor:
 
     def load_baseline(self, path: str) -> Monitor:
         """Take up a saved baseline instead of fitting."""
-        self.baseline = Baseline.load(self.spark, self.store, path)
+        self.baseline = Baseline.load(self.spark, self.store, path, self.settings.known_in_scan)
         return self
 
     def save_report(self, report: Report, path: str, mode: str = "overwrite") -> None:
@@ -115,19 +133,42 @@ class Monitor:
         return self.baseline
 
 
-def fit_baseline(reference: DataFrame, settings: Settings) -> Baseline:
-    """Profile the table and write the profile, so that no comparison reads the table again."""
-    return Baseline(pin(profile_table(reference, settings)), schema_types(reference))
+def fit_baseline(reference: DataFrame, settings: Settings, scratch: Scratch | None = None) -> Baseline:
+    """Profile the table and write the profile, so that no comparison reads the table again.
 
+    The category counts are written too: the profile and the table of rare categories come from them.
+    """
+    scratch = scratch or Scratch(reference.sparkSession)
+    _, categorical = resolve_features(reference, settings)
+    require_features(reference, [], categorical)
+    counts = scratch.pin(category_counts(reference, categorical)) if categorical else None
+    profile = scratch.pin(profile_table(reference, settings, counts=counts))
+    rare = rare_table(reference.sparkSession, counts, settings.rare_threshold)
+    return Baseline(profile, schema_types(reference), rare, settings.known_in_scan)
+
+
+def rare_table(spark: SparkSession, counts: DataFrame | None, threshold: float) -> DataFrame:
+    """feature, category, n, p of all categories with a share below threshold."""
+    if counts is None:
+        return literal_table(spark, [], "feature string, category string, n bigint, p double")
+    rare = categories.rare_categories(counts, categories.category_totals(counts), threshold)
+    return rare.select("feature", key_label(F.col("kind"), F.col("key")).alias("category"), "n", "p")
 
-def compare(current: DataFrame, baseline: Baseline, settings: Settings) -> Report:
+
+def compare(current: DataFrame, baseline: Baseline, settings: Settings, scratch: Scratch | None = None) -> Report:
     """Measure current against the baseline. The feature table is written once; all views read it."""
+    scratch = scratch or Scratch(current.sparkSession)
     measured = measured_features(current, baseline, settings)
-    return build_report(pin(feature_metrics(measured, settings)), settings)
+    return build_report(scratch.pin(feature_metrics(measured, settings)), settings)
+
 
+def profile_table(
+    df: DataFrame, settings: Settings, baseline: Baseline | None = None, counts: DataFrame | None = None
+) -> DataFrame:
+    """Profile the watched columns of df; with a baseline, on its features, edges and categories.
 
-def profile_table(df: DataFrame, settings: Settings, baseline: Baseline | None = None) -> DataFrame:
-    """Profile the watched columns of df; with a baseline, on its features, edges and categories."""
+    counts: the category counts of df, if they are at hand.
+    """
     if baseline:
         numeric, categorical = present(df, baseline.edges), present(df, baseline.categorical)
     else:
@@ -148,8 +189,8 @@ def profile_table(df: DataFrame, settings: Settings, baseline: Baseline | None =
                 df,
                 categorical,
                 settings.categorical_top_k,
-                settings.rare_threshold,
                 baseline.known if baseline else None,
+                counts,
             )
         )
     if not parts:
@@ -212,7 +253,11 @@ def measured_features(current: DataFrame, baseline: Baseline, settings: Settings
         divergence.align(paired, settings.eps),
         settings.eps,
         extra=[
-            categories.new_category_share().alias("new_keys"),
+            (
+                categories.new_category_row_share()
+                if settings.new_category_weight == "rows"
+                else categories.new_category_share()
+            ).alias("new_keys"),
             share(rows - valued, rows).alias("missing_cur"),
         ],
     ).drop("feature_type")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.values import BIN, VALUE, key_label, share
-from ..operators.categories import category_bins, category_totals, most_frequent, project, rare_categories
+from ..operators.categories import category_bins, category_totals, most_frequent, project
 from ..operators.counting import category_counts, numeric_counts
 from ..operators.features import schema_types
 from ..sources.tables import literal_table
@@ -17,7 +17,7 @@ PROFILE_SCHEMA = (
     "null_count bigint, null_proportion double, min double, max double, quantiles array<double>, "
     "bin_edges array<double>, "
     "bins array<struct<kind: string, key: string, ord: int, n: bigint, p: double>>, "
-    "cardinality bigint, rare_categories array<string>"
+    "cardinality bigint"
 )
 
 
@@ -68,19 +68,23 @@ def numeric_profile(
                 ),
             ).alias("bins"),
             F.lit(None).cast("bigint").alias("cardinality"),
-            F.lit(None).cast("array<string>").alias("rare_categories"),
         )
     )
 
 
 def categorical_profile(
-    df: DataFrame, features: Sequence[str], top_k: int, rare_threshold: float, known: DataFrame | None = None
+    df: DataFrame,
+    features: Sequence[str],
+    top_k: int,
+    known: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Profile rows of categorical columns, on the top_k of df itself or on a known list.
 
-    All tables below come from the same counts, so they share one scan and its shuffle.
+    All tables below come from the same counts, so they share one scan and its shuffle. counts: what
+    category_counts gives for df, if it is at hand.
     """
-    counts = category_counts(df, features)
+    counts = category_counts(df, features) if counts is None else counts
     totals = category_totals(counts)
     if known is None:
         entries = most_frequent(counts, top_k)
@@ -88,29 +92,18 @@ def categorical_profile(
         by_size = Window.partitionBy("feature").orderBy(F.col("n").desc(), "kind", "key")
         entries = project(counts, known).withColumn("position", F.row_number().over(by_size))
     bins = category_bins(entries, totals)
-    rare = (
-        rare_categories(counts, totals, rare_threshold)
-        .groupBy("feature")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("position", key_label(F.col("kind"), F.col("key")).alias("key"))))
-            .alias("rare")
-        )
-        .select("feature", F.col("rare.key").alias("rare_categories"))
-    )
     types = schema_types(df)
     given = literal_table(df.sparkSession, [(x, types[x]) for x in features], "feature string, data_type string")
-    # one row per feature on every side, but bins and rare hold texts of any length: no broadcast asked for
+    # one row per feature on every side, but bins hold texts of any length: no broadcast asked for
     return _profile_rows(
         given.join(totals, "feature", "left")
         .join(bins, "feature", "left")
-        .join(rare, "feature", "left")
         .select(
             "feature",
             "data_type",
             "total_count",
             F.coalesce("cardinality", F.lit(0)).alias("cardinality"),
             "bins",
-            F.coalesce("rare_categories", F.array().cast("array<string>")).alias("rare_categories"),
             F.lit("categorical").alias("feature_type"),
             (F.col("total_count") - F.col("null_count")).alias("count"),
             *[F.lit(None).cast("double").alias(x) for x in ("min", "max")],

@@ -16,6 +16,7 @@ BOUNDED_THRESHOLDS = (0.05, 0.10, 0.20)
 
 EDGE_POLICIES = ("replace_ends", "extend_ends")
 SCHEMA_POLICIES = ("critical", "ignore")
+NEW_CATEGORY_WEIGHTS = ("keys", "rows")
 
 
 @dataclass(frozen=True)
@@ -23,13 +24,17 @@ class Settings:
     """Settings of one monitor.
 
     relative_error     rank error allowed for the quantiles that become bin edges
-    exact_quantiles    take exact quantiles instead; shuffles and writes the distinct values once
+    exact_quantiles    take exact quantiles instead; one scan more
     edge_policy        'replace_ends' opens the outer edges to infinity, so the smallest and the
                        largest quantile are no edges of their own; 'extend_ends' keeps them as
                        inner edges, which makes a change in a two-valued column visible
     schema_policy      'critical' reports a watched column that is gone or has another type as
                        critical; 'ignore' leaves a column that is gone out of the report
     rare_threshold     categories below this share are listed as rare
+    known_in_scan      test the baseline's categories while scanning, so that only they are shuffled; set it to
+                       False for lists too long to be part of a plan: they are joined after counting
+    new_category_weight  'keys' takes the share of new categories among the current table's, 'rows' the
+                       share of its rows that hold one
     """
 
     numeric_features: Sequence[str] | None = None
@@ -49,6 +54,8 @@ class Settings:
     edge_policy: str = "replace_ends"
     schema_policy: str = "critical"
     exact_quantiles: bool = False
+    known_in_scan: bool = True
+    new_category_weight: str = "keys"
 
     def __post_init__(self) -> None:
         put = lambda name, value: object.__setattr__(self, name, value)
@@ -67,6 +74,9 @@ class Settings:
         _require(0 <= self.rare_threshold <= 1, "rare_threshold must lie in [0, 1]")
         _require(self.edge_policy in EDGE_POLICIES, f"edge_policy must be one of {EDGE_POLICIES}")
         _require(self.schema_policy in SCHEMA_POLICIES, f"schema_policy must be one of {SCHEMA_POLICIES}")
+        _require(
+            self.new_category_weight in NEW_CATEGORY_WEIGHTS, f"new_category_weight must be one of {NEW_CATEGORY_WEIGHTS}"
+        )
         both = set(self.numeric_features) & set(self.categorical_features)
         _require(not both, f"features listed as numeric and as categorical: {sorted(both)}")
         if not self.exact_quantiles and self.relative_error >= 1 / self.n_bins:

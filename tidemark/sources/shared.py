@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Only a local session may go without; it gets a temporary folder of its own.
-    """
+    """The folder the cluster names in spark.checkpoint.dir, or the session's checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Run df once, write it to the shared folder and return the written table.
-
-    The result survives the loss of executors, starts a short lineage, and its file sizes tell the
-    optimizer how large it really is.
-    """
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share, or name one to the Monitor")
+    return named
+
+
+class Scratch:
+    """Tables written for one owner and deleted by close(), or else when the driver ends."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark = spark
+        self.folder = folder
+        self.paths: list[str] = []
+        atexit.register(self.close)
+
+    def pin(self, df: DataFrame) -> DataFrame:
+        """Run df once, write it and return the written table.
+
+        The result survives the loss of executors, starts a short lineage, and its file sizes tell the
+        optimizer how large it really is.
+        """
+        path = f"{self.folder or shared_folder(self.spark)}/tidemark-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete what was written, through the file system Spark uses for it."""
+        context = self.spark.sparkContext
+        if context._jsc is None:  # the session has ended
+            return
+        for path in self.paths:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths.clear()
+        atexit.unregister(self.close)
