@@ -9,8 +9,9 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import tidemark
 
@@ -70,11 +71,23 @@ def _clean() -> None:
 
 def keep(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df once to the shared folder and return the written table: later jobs neither repeat the
-    work nor depend on the executors that did it."""
+    work nor depend on the executors that did it.
+
+    Shuffle files of earlier jobs are deleted once the driver has collected what refers to them, so that is asked for
+    here: long chains of jobs would hold the files of all of them otherwise.
+    """
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()
     path = work_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table that keep() has written and nothing will read again."""
+    delete(df.sparkSession, df.kept_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,3 +106,30 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+
+
+FILTER_BITS = 1 << 26
+
+
+def rows_with_keys(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key may be in the one column of `keys`; some others come along.
+
+    A bit set of fixed size, 8 MB, is all that reaches the driver and the tasks, however many keys there are. It spares most rows the
+    shuffle of an exact join.
+    """
+    spark = df.sparkSession
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_BITS))
+    bit = place(keys[keys.columns[0]])
+    words = keys.select(F.shiftright(bit, 5).cast("int").alias("word"), F.pmod(bit, F.lit(32)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(np.bool_)))
+
+    marked = df.withColumn("__bit", place(key))
+    return marked.mapInArrow(run, marked.schema).drop("__bit")

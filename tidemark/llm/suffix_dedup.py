@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_bytes, keep, ship
+from tidemark.llm.common import by_bytes, keep, rows_with_keys, ship
 from tidemark.llm.jaccard import mix
 from tidemark.llm.runs import in_key_order, sorted_runs, starts_of
 
@@ -38,7 +38,6 @@ BATCH_BYTES = 4 << 20
 TRIGGER = 8
 PHRASE = 48
 DEPTH = 4
-FILTER_BITS = 1 << 26
 U64 = np.uint64
 _BYTE = mix(np.arange(256, dtype=U64), 41)
 _FACTOR = U64(0xD1342543DE82EF95)
@@ -213,7 +212,8 @@ def _last_round(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _verdicts(stretches: DataFrame) -> DataFrame:
-    """k, low, high and sure: stretches of strings that are repeated for sure, and those to be compared one by one."""
+    """k, low, high and sure: stretches of strings that are repeated for sure, and those to be compared one by one. Of equal
+    stretches in a block that has others too, one is in both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "whole", "k", "low", "high"]
@@ -224,15 +224,21 @@ def _verdicts(stretches: DataFrame) -> DataFrame:
             block, whole, k, low, high = (x[fresh] for x in (block, whole, k, low, high))
             starts = starts_of(block)
             sizes = np.diff(np.append(starts, len(block)))
-            alike = np.minimum.reduceat(whole, starts) == np.maximum.reduceat(whole, starts)
-            alike &= whole[starts] != 0
             cut = np.zeros(len(starts), np.bool_)
             cut[0] |= first
             cut[-1] |= last
-            some = (sizes > 1) | cut
-            sure = alike & (sizes > 1) & ~cut
-            some, sure = np.repeat(some, sizes), np.repeat(sure, sizes)
-            columns = (k[some], low[some], high[some], sure[some])
+            alike = np.minimum.reduceat(whole, starts) == np.maximum.reduceat(whole, starts)
+            alike &= (whole[starts] != 0) & ~cut
+            # equal from end to end: repeated for sure, and one of them stands for all where the block has others
+            part = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (whole[1:] != whole[:-1]))))
+            equal = np.repeat(np.diff(np.append(part, len(block))), np.diff(np.append(part, len(block))))
+            sure = (equal > 1) & (whole != 0)
+            stands = ~sure
+            stands[part] = True
+            doubt = np.repeat(~alike & ((sizes > 1) | cut), sizes) & stands
+            chosen = np.concatenate((np.flatnonzero(sure), np.flatnonzero(doubt)))
+            told = np.arange(len(chosen)) < sure.sum()
+            columns = (k[chosen], low[chosen], high[chosen], told)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "low", "high", "sure"])
 
         yield from sorted_runs(batches, "block", handle)
@@ -243,25 +249,6 @@ def _verdicts(stretches: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "k long, low int, high int, sure boolean").unionByName(free)
 
 
-def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs that may have one of the keys: a bit set of fixed size tells, with some in error."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
-    words = keys.select(F.shiftright(bit, 5).cast("int").alias("word"), F.pmod(bit, F.lit(32)).cast("int").alias("bit"))
-    found = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("bit").to_numpy()
-            yield batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(np.bool_)))
-
-    marked = docs.withColumn("bit", bit)
-    return marked.mapInArrow(run, marked.schema).drop("bit")
-
-
 def _strings(texts: DataFrame, length: int) -> DataFrame:
     """block (the string's hash), k and at (its start) of the strings at the stretches of each text."""
 
@@ -325,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int, phrase: int = PHRASE) -> DataFr
     verdicts = keep(_verdicts(keep(_last_round(living.join(more, "k", "left"), length), "suffix")), "suffix")
     doubt = verdicts.filter("NOT sure").groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     doubt = keep(doubt, "suffix")
-    asked = _texts_of(docs.select("k", "text"), doubt.select("k")).dropDuplicates(["k"]).join(doubt, "k")
+    asked = rows_with_keys(docs.select("k", "text"), F.col("k"), doubt.select("k")).dropDuplicates(["k"]).join(doubt, "k")
     strings = _repeated(keep(_strings(asked, length), "suffix"))
     found = verdicts.filter("sure").select("k", "low", "high").unionByName(strings)
     return found.groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
@@ -372,7 +359,7 @@ def _found(docs: DataFrame, length: int, phrase: int) -> tuple[DataFrame, DataFr
             names = ["k", "removed", "n_spans", "kept_sha", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=names)
 
-    texts = _texts_of(docs.select("k", "text"), spans.select("k")).dropDuplicates(["k"]).join(spans, "k")
+    texts = rows_with_keys(docs.select("k", "text"), F.col("k"), spans.select("k")).dropDuplicates(["k"]).join(spans, "k")
     return copies, texts.mapInArrow(cut, "k long, removed long, n_spans long, kept_sha string, kept binary")
 
 
