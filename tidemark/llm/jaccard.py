@@ -13,8 +13,9 @@ difference is then at most S * (100 - percent) / (100 + percent).
   number of segments has its thin subsets indexed after all.
 * `least` is allotted per band by cost: index rows against the chance of equal keys of unlike sets.
 
-Equal sets are one node. The index is range-partitioned by key and node, so that a key which very many sets share is cut into
-pieces; the smallest node of every piece is its hub. Candidates are (hub, member) pairs, linear in the index. A fingerprint per set,
+Equal sets are one node. The index is shuffled in packed rows. Of a task's nodes with the same key only one, their hub, goes to the key's
+bucket, so that a key which very many sets share is no large group there; the hubs of all tasks have one among them in turn.
+Candidates are (hub, member) pairs, linear in the index. A fingerprint per set,
 the shingles' sums in a few times k small cells, gives a lower bound of the difference that discards most pairs unlike;
 what is left is verified exactly on the sets themselves. Then, until nothing is open: members that aren't in their hub's
 component are compared with all other members of the key, in blocks, by fingerprint and verified, so no link is lost and
@@ -35,12 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_bytes, keep, ship
+from tidemark.llm.common import by_bytes, keep, release, rows_with_keys, ship
 from tidemark.llm.components import components
+from tidemark.llm.runs import sorted_runs, starts_of
 
 BATCH_BYTES = 4 << 20
 CHUNK_BYTES = 256 << 10
 BLOCK = 512
+SHORT = 128
+PACKED_KEYS = 2 << 20  # keys that a task gathers before it packs them
+NODES_PER_BUCKET = 2000
 STEP = 1.25  # from one band of sizes to the next; a linked set is at most in the next one
 CHANCE_COST = 10.0  # index rows that one candidate pair costs
 AGREEMENT = 0.5  # how likely unlike sets are taken to share one shingle
@@ -185,91 +190,136 @@ def fingerprint(items: np.ndarray, bands: Bands) -> bytes:
     return np.bincount(at, weights=(hashed >> U64(56)).astype(np.float64), minlength=cells).astype(np.int64).astype(np.uint8).tobytes()
 
 
+def folded(a: np.ndarray, cells: int) -> np.ndarray:
+    """Fingerprints with no more than so many cells."""
+    while a.shape[-1] > cells:
+        a = a[..., : a.shape[-1] // 2] + a[..., a.shape[-1] // 2 :]
+    return a
+
+
 def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lower bounds of the differences of all rows of a with all rows of b."""
-    while a.shape[1] > b.shape[1]:
-        a = a[:, : a.shape[1] // 2] + a[:, a.shape[1] // 2 :]
-    while b.shape[1] > a.shape[1]:
-        b = b[:, : b.shape[1] // 2] + b[:, b.shape[1] // 2 :]
+    a, b = folded(a, b.shape[1]), folded(b, a.shape[1])
     return np.stack([(row != b).sum(axis=1) for row in a]) if len(a) else np.zeros((0, len(b)), np.int64)
 
 
 def _nodes(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """id, node, n, print and keys of every row; a row without shingles has null node and no keys, nor do further copies of
-    a set that its task has had."""
+    """id, node, n, print and short (the print folded to few cells) of every row; a row without shingles has null node."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had: set[int] = set()
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             sets = shingles([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], width)
-            nodes = [set_key(x) if len(x) else None for x in sets]
-            keys = []
-            for node, items in zip(nodes, sets):
-                keys.append(index_keys(items if node not in had else items[:0], bands))
-                had.add(node)
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+            prints = [fingerprint(x, bands) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array(nodes, pa.int64()),
+                    pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([fingerprint(x, bands) if len(x) else None for x in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                    pa.array(prints, pa.binary()),
+                    pa.array([None if x is None else folded(np.frombuffer(x, np.uint8), SHORT).tobytes() for x in prints], pa.binary()),
                 ],
-                names=["id", "node", "n", "print", "keys"],
+                names=["id", "node", "n", "print", "short"],
             )
 
-    return docs.mapInArrow(run, f"id {id_type}, node long, n long, print binary, keys array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, node long, n long, print binary, short binary")
+
+
+def _key_runs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, node) in order of key, with the key's first node as hub, its number of nodes and the place among them. Bits of
+    the node are flipped by the key before they are ordered, so that the hub is another one for each key."""
+    order = np.lexsort((node ^ key, key))
+    key, node = key[order], node[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+    key, node = key[fresh], node[fresh]
+    starts = starts_of(key)
+    sizes = np.diff(np.append(starts, len(key)))
+    return key, node, np.repeat(node[starts], sizes), np.repeat(sizes, sizes), np.arange(len(key)) - np.repeat(starts, sizes)
 
 
-def _members(keys: DataFrame) -> DataFrame:
-    """key, node, hub, block and cut of the keys that more than one node has, or that may go on in another task.
+def _members(docs: DataFrame, width: int, bands: Bands, n_buckets: int) -> DataFrame:
+    """key, node, hub and block of the keys that more than one node has.
 
-    A task holds a range of (key, node); the hub is the smallest node of the key there. `cut` marks hubs of a task's first and
-    last key.
+    Keys travel in packed rows, one per task and bucket of keys. Where several nodes of a task have a key, only their hub travels to
+    the key's bucket, so however many nodes share a key, its bucket gets one per task; the others go to any bucket with their hub.
     """
-    ordered = keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[int] = set()
+        keys, nodes, waiting = [], [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            key, node, hub, size, place = _key_runs(np.concatenate(keys).view(np.int64), np.concatenate(nodes))
+            shift = 64 - (n_buckets.bit_length() - 1)
+            bucket = (key.view(U64) >> U64(shift)).astype(np.int64)
+            # what is known here and needs no further look: marked by a bucket below 0
+            several = np.flatnonzero(size > 1)
+            for rows, mark in ((np.flatnonzero(place == 0), 0), (several, -1)):
+                of = bucket[rows]
+                order = np.argsort(of, kind="stable")
+                rows, of = rows[order], of[order]
+                for start, end in zip(starts_of(of), np.append(starts_of(of)[1:], len(of))) if len(of) else ():
+                    part = rows[start:end]
+                    name = int(of[start]) if mark == 0 else -1 - int(of[start])
+                    hubs = hub[part].tobytes() if mark else b""
+                    yield (name, key[part].tobytes(), node[part].tobytes(), hubs)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = list(packed())
+            for start in range(0, len(rows), 256):
+                columns = zip(*rows[start : start + 256])
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["bucket", "keys", "nodes", "hubs"])
+
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            for items in shingles([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], width):
+                node = set_key(items) if len(items) else None
+                if node is None or node in had:
+                    continue  # copies of a set are one node
+                had.add(node)
+                found = index_keys(items, bands)
+                keys.append(found)
+                nodes.append(np.full(len(found), node, np.int64))
+                waiting += len(found)
+            if waiting >= PACKED_KEYS:
+                yield from out()
+                keys, nodes, waiting = [], [], 0
+        if waiting:
+            yield from out()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId() << 32
-        first, held = True, None
-
-        def out(key: np.ndarray, node: np.ndarray, last: bool) -> pa.RecordBatch:
-            nonlocal first
-            fresh = np.ones(len(key), np.bool_)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[fresh], node[fresh]
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.concatenate((starts, [len(key)])))
-            cut = np.zeros(len(key), np.bool_)
-            if first:
-                cut[0], first = True, False
-            if last:
-                cut[starts[-1]] = True
-            run_of = np.repeat(np.arange(len(starts)), sizes)
-            position = np.arange(len(key)) - starts[run_of]
-            keep_row = (sizes[run_of] > 1) | cut
-            columns = (key, node, node[starts][run_of], task + position // BLOCK, cut)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep_row]) for x in columns], names=["key", "node", "hub", "block", "cut"])
+        task, counter, at, held = TaskContext.get().partitionId(), 0, None, []
+
+        def rows(key, node, hub, block) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, hub, block)], names=["key", "node", "hub", "block"])
+
+        def bucket() -> pa.RecordBatch:
+            key, node = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held))
+            key, node, hub, size, place = _key_runs(key, node)
+            more = size > 1
+            return rows(key[more], node[more], hub[more], (task << 32) + place[more] // BLOCK)
 
         for batch in batches:
-            key, node = (batch.column(x).to_numpy() for x in ("key", "node"))
-            if held is not None:
-                key, node = np.concatenate((held[0], key)), np.concatenate((held[1], node))
-            if not len(key):
-                continue
-            start = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            if start:
-                yield out(key[:start], node[:start], False)
-            held = key[start:], node[start:]
-        if held is not None:
-            yield out(*held, True)
+            for name, keys, nodes, hubs in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "nodes", "hubs"))):
+                if name < 0:
+                    key, node, hub = (np.frombuffer(x, np.int64) for x in (keys, nodes, hubs))
+                    counter += 1
+                    starts = starts_of(key)
+                    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+                    yield rows(key, node, hub, -1 - ((task << 40) + (counter << 16) + place // BLOCK))
+                    continue
+                if held and name != at:
+                    yield bucket()
+                    held = []
+                at = name
+                held.append((keys, nodes))
+        if held:
+            yield bucket()
 
-    return ordered.mapInArrow(run, "key long, node long, hub long, block long, cut boolean")
+    sent = docs.select("text").mapInArrow(pack, "bucket long, keys binary, nodes binary, hubs binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "key long, node long, hub long, block long")
 
 
 def _by_fingerprint(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
@@ -295,7 +345,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, b
     """The pairs (a, b) that link."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("id").alias("wanted")).distinct()
-    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    asked = rows_with_keys(docs, F.coalesce(F.col("id").cast("string"), F.lit("")), ids.select(F.coalesce(F.col("wanted").cast("string"), F.lit(""))))
+    texts = asked.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
@@ -320,7 +371,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, b
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of one key and of different components that fingerprints allow: every member outside its hub's
+    """Pairs (a, b) of one key and of different components that short fingerprints allow: every member outside its hub's
     component against all members of the key."""
     of_node = labels.select("node", F.col("label").alias("own"))
     of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hubs"))
@@ -330,71 +381,66 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, bands:
     # pieces of a key may have different hubs: only the smallest component of a key is no stray
     main = known.groupBy("key").agg(F.min("hubs").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"))
     main = main.filter("low <> high").select("key", "main")
-    rows = keep(known.drop("hubs").join(main, "key").join(nodes.select("node", "n", "print"), "node"), "jaccard")
-    strays = rows.filter("label <> main").select("key", "node", "label", "n", "print")
+    rows = keep(known.drop("hubs").join(main, "key").join(nodes.select("node", "n", "short"), "node"), "jaccard")
+    strays = rows.filter("label <> main").select("key", "node", "label", "n", "short")
     blocks = rows.select("key", "block").distinct()
-    sides = rows.select("key", "block", F.lit(0).alias("side"), "node", "label", "n", "print").unionByName(
-        strays.join(blocks, "key").select("key", "block", F.lit(1).alias("side"), "node", "label", "n", "print")
+    sides = rows.select("key", "block", F.lit(0).alias("side"), "node", "label", "n", "short").unionByName(
+        strays.join(blocks, "key").select("key", "block", F.lit(1).alias("side"), "node", "label", "n", "short")
     )
-    ordered = sides.repartition("key", "block").sortWithinPartitions("key", "block", "side")
-
-    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(rows)
-        side = whole.column("side").to_numpy()
-        node, label, n = (whole.column(c).to_numpy() for c in ("node", "label", "n"))
-        prints = whole.column("print").to_pylist()
-        allowed = np.array([bands.difference(i) for i in range(2 * int(n.max()) + 1)])
-        found = []
-        cells = np.array([len(p) for p in prints])
-        for p in np.unique(cells[side == 1]):
-            for q in np.unique(cells[side == 0]):
-                i, j = np.flatnonzero((side == 1) & (cells == p)), np.flatnonzero((side == 0) & (cells == q))
-                x, y = (np.frombuffer(b"".join(prints[t] for t in s), np.uint8).reshape(len(s), -1) for s in (i, j))
-                good = least_difference(x, y) <= allowed[n[i][:, None] + n[j][None, :]]
-                good &= label[i][:, None] != label[j][None, :]
-                at = np.nonzero(good)
-                found.append((node[i[at[0]]], node[j[at[1]]]))
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    sides = sides.withColumn("run", F.xxhash64("key", "block")).drop("key", "block")
+    ordered = sides.repartition("run").sortWithinPartitions("run", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
-            if not len(key):
-                continue
-            edges = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            starts = [0, *edges.tolist(), len(key)]
-            for start, end in zip(starts, starts[1:]):
-                if held and at != (key[start], block[start]):
-                    yield compare(held)
-                    held = []
-                at = key[start], block[start]
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield compare(held)
+        def handle(columns: dict, first: bool, last: bool) -> pa.RecordBatch:
+            side, node, label, n, prints = (columns[x] for x in ("side", "node", "label", "n", "short"))
+            allowed = np.array([bands.difference(i) for i in range(2 * int(n.max()) + 1)])
+            starts = starts_of(columns["run"])
+            found = []
+            for start, end in zip(starts, np.append(starts[1:], len(side))):
+                middle = start + int(np.searchsorted(side[start:end], 1))
+                found += _alike(node, label, n, prints, allowed, np.arange(middle, end), np.arange(start, middle))
+            a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        yield from sorted_runs(batches, "run", handle)
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _alike(node, label, n, prints, allowed, strays: np.ndarray, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of strays and of members with other labels whose sizes and fingerprints allow a link."""
+    out = []
+    cells = np.array([len(prints[i]) for i in (*strays, *members)])
+    of_strays, of_members = cells[: len(strays)], cells[len(strays) :]
+    for p in set(of_strays.tolist()):
+        for q in set(of_members.tolist()):
+            i, j = strays[of_strays == p], members[of_members == q]
+            x, y = (np.frombuffer(b"".join(prints[s].tolist()), np.uint8).reshape(len(s), -1) for s in (i, j))
+            good = least_difference(x, y) <= allowed[n[i][:, None] + n[j][None, :]]
+            good &= label[i][:, None] != label[j][None, :]
+            at = np.nonzero(good)
+            out.append((node[i[at[0]]], node[j[at[1]]]))
+    return out
+
+
 def similar_groups(df: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row of df."""
     ship(df.sparkSession)
     bands = Bands(percent)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    rows = keep(_nodes(docs, width, bands), "jaccard")
-    sets = rows.filter("node IS NOT NULL")
-    nodes = keep(sets.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("print").alias("print")), "jaccard")
-    keys = sets.select(F.explode("keys").alias("key"), "node")
-    members = keep(_members(keys), "jaccard")
-    cuts = members.filter("cut").groupBy("key").agg(F.min("node").alias("a"), F.collect_set("node").alias("hubs"))
-    hubs = members.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    pairs = hubs.unionByName(cuts.select("a", F.explode("hubs").alias("b"))).filter("a <> b").distinct()
+    wide = keep(_nodes(docs, width, bands), "jaccard")
+    sets = wide.filter("node IS NOT NULL")
+    nodes = keep(sets.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("short").alias("short")), "jaccard")
+    rows = keep(wide.drop("print", "short"), "jaccard")
+    release(wide)
+    n_buckets = 1 << max(10, (nodes.count() // NODES_PER_BUCKET).bit_length())
+    members = keep(_members(docs, width, bands, n_buckets), "jaccard")
+    pairs = members.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).filter("a <> b").distinct()
     pairs = keep(_by_fingerprint(pairs, nodes, bands), "jaccard")
     links = keep(_verified(pairs, docs, nodes, width, bands), "jaccard")
     labels = components(links)
     more = keep(_open_pairs(members, labels, nodes, bands).join(pairs, ["a", "b"], "left_anti"), "jaccard")
+    more = keep(_by_fingerprint(more, nodes, bands), "jaccard")
     if not more.isEmpty():
         more = keep(_verified(more, docs, nodes, width, bands), "jaccard")
         labels = components(links.unionByName(more))
