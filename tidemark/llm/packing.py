@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import by_bytes, ship
 from tidemark.llm.token_counts import batches_by_bytes
 
-BATCH_BYTES = 8 << 20
-GROUP_TOKENS = 4 << 20
+BATCH_BYTES = 2 << 20
+GROUP_TOKENS = 1 << 20
 ENCODED_BYTES = 1 << 20
 KNOWN_WORDS = 800_000
 
