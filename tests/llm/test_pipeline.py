@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -57,3 +58,31 @@ def test_stages(spark):
     assert Counter(r["doc_id"] for r in pieces.collect()).keys() == {r["doc_id"] for r in seen["repeats"].collect()}
     whole = {r["doc_id"]: r["n"] for r in pieces.groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()}
     assert all(r["doc_tokens"] == whole[r["doc_id"]] for r in pieces.collect())
+
+
+def test_repeated_passages_of_over_50_words_go(spark):
+    chosen = random.Random(7)
+    some = lambda n, low, high: [
+        "".join(chosen.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(chosen.randint(low, high))) for _ in range(n)
+    ]
+    passages = [" ".join(some(51, low, high)) for low, high in ((1, 1), (2, 4), (4, 6), (8, 8))]
+    assert [len(x) < 250 for x in passages] == [True, True, False, False] and len(passages[2]) < 400
+    part = " ".join(passages[1].split(" ")[:50])  # 50 words of fewer than 250 bytes stay
+    rows = []
+    for i, passage in enumerate([*passages, part]):
+        rows += [(10 * i + k, " ".join([*some(80, 3, 9), passage, *some(80, 3, 9)])) for k in range(2)]
+    copies = [(100, " " + passages[0]), (101, " " + passages[0])]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows + copies], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r for r in corpus_pipeline.without_repeats(spark, docs, SF).collect()}
+    before = dict(rows)
+    for i, text in before.items():
+        left = found[i]["text"]
+        assert found[i]["n_chars"] == len(left)
+        if i >= 40:
+            assert left == text
+            continue
+        assert passages[i // 10] not in left
+        # a letter or blank at either side may be equal by chance and go along in strings of bytes
+        first, last = text.split(passages[i // 10])
+        assert left in {first[: len(first) - a] + last[b:] for a in range(6) for b in range(6)}
+    assert found[100]["text"].strip() == "" and found[101]["text"].strip() == ""

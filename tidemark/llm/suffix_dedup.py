@@ -13,11 +13,14 @@ A byte is removed where a string of `length` bytes that also starts anywhere els
   single occur once. Where all of a block's suffixes have equal bytes up to the ends of the strings, all these are repeated.
   Else phrases before or after differ, and the strings at these ends, and only those, are compared one by one by their hashes.
 
+With `words`, a run of so many words (of `[^ \\t-\\r]`) that also starts anywhere else is removed as well, however few bytes it has. Runs
+of `length` bytes are such strings anyway; those of fewer, few in most texts, are compared one by one with the strings in doubt.
+
 A text that occurs more than once is repeated as a whole; it takes part once. Blocks and strings are compared across tasks by
 range partitions of (hash, place), which cut what very many places share into pieces; only the runs at the pieces' ends are looked
 at again. To the driver comes one bit set of fixed size, which spares most texts the join with the places.
 
-Null texts are empty. Texts shorter than `length` have nothing to remove. Matches never cross documents. Rows that repeat an id are
+Null texts are empty. Texts shorter than `length` (and of fewer than `words` words) have nothing to remove. Matches never cross documents. Rows that repeat an id are
 documents of their own. Phrases and strings are known by 64-bit hashes. An empty table gives an empty one.
 """
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import by_bytes, keep, rows_with_keys, ship
-from tidemark.llm.jaccard import mix
+from tidemark.llm.jaccard import _SPACE, mix
 from tidemark.llm.runs import in_key_order, sorted_runs, starts_of
 
 BATCH_BYTES = 4 << 20
@@ -268,6 +271,33 @@ def _strings(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "block long, k long, at int")
 
 
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    letter = np.concatenate(([False], ~_SPACE[data], [False]))
+    return np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(letter[:-1] & ~letter[1:])
+
+
+def _short_runs(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """block (the run's hash), k and at (~ of its start, so below 0) of the runs of `words` words with fewer than `length` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                data = np.frombuffer(text, np.uint8)
+                starts, ends = words_of(data)
+                starts, ends = starts[: max(len(starts) - words + 1, 0)], ends[words - 1 :]
+                short = ends - starts < length
+                if not short.any():
+                    continue
+                starts, ends = starts[short], ends[short]
+                block = Hashes(_BYTE[data]).of(starts, ends).view(np.int64)
+                columns = (block, np.full(len(starts), k, np.int64), ~starts.astype(np.int32))
+                for start in range(0, len(starts), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[start : start + (1 << 18)]) for x in columns], names=["block", "k", "at"])
+
+    return docs.select("k", "text").mapInArrow(run, "block long, k long, at int")
+
+
 def _repeated(strings: DataFrame) -> DataFrame:
     """k, low, high and open: starts of the strings that start at more than one place, neighbouring ones apart; and, marked open with
     their block, the few at the ends of a task's range of which this isn't known yet."""
@@ -301,8 +331,9 @@ def _repeated(strings: DataFrame) -> DataFrame:
     return found.filter("many").unionByName(late).select("k", F.col("at").alias("low"), F.col("at").alias("high"))
 
 
-def repeated_spans(docs: DataFrame, length: int, phrase: int = PHRASE) -> DataFrame:
-    """k and spans (arrays of low and high): starts of repeated strings of the texts that have any; docs has text and k."""
+def repeated_spans(docs: DataFrame, length: int, phrase: int = PHRASE, words: int | None = None) -> DataFrame:
+    """k and spans (arrays of low and high): starts of repeated strings of the texts that have any, and ~ of the starts of short
+    runs of `words` words; docs has text and k."""
     texts = keep(_parsed(docs, length, phrase), "suffix")
     # copies of a text in several tasks are one place
     one = _shared(_blocks(texts, 1)).groupBy("k").agg(F.collect_set("at").alias("one"))
@@ -313,7 +344,10 @@ def repeated_spans(docs: DataFrame, length: int, phrase: int = PHRASE) -> DataFr
     doubt = verdicts.filter("NOT sure").groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     doubt = keep(doubt, "suffix")
     asked = rows_with_keys(docs.select("k", "text"), F.col("k"), doubt.select("k")).dropDuplicates(["k"]).join(doubt, "k")
-    strings = _repeated(keep(_strings(asked, length), "suffix"))
+    strings = _strings(asked, length)
+    if words:
+        strings = strings.unionByName(_short_runs(docs, words, length))
+    strings = _repeated(keep(strings, "suffix"))
     found = verdicts.filter("sure").select("k", "low", "high").unionByName(strings)
     return found.groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
@@ -338,11 +372,14 @@ def kept(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _found(docs: DataFrame, length: int, phrase: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, length: int, phrase: int, words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The keys of texts that occur more than once, and for other texts with repeats: k, removed, n_spans, kept_sha and kept (binary)."""
-    copies = docs.select("k", F.octet_length("text").alias("n")).filter(F.col("n") >= length).groupBy("k").count()
+    long = F.octet_length("text") >= length
+    if words:
+        long |= F.when(F.octet_length("text") >= 2 * words - 1, F.regexp_count("text", F.lit(r"[^ \t-\r]+")) >= words)
+    copies = docs.filter(long).select("k").groupBy("k").count()
     copies = keep(copies.filter("count > 1").select("k", F.lit(True).alias("whole")), "suffix")
-    spans = keep(repeated_spans(docs, length, phrase).join(copies, "k", "left_anti"), "suffix")
+    spans = keep(repeated_spans(docs, length, phrase, words).join(copies, "k", "left_anti"), "suffix")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,8 +387,13 @@ def _found(docs: DataFrame, length: int, phrase: int) -> tuple[DataFrame, DataFr
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py().encode()
                 found = batch.column("spans")[i].values
-                pairs = zip(found.field("low").to_pylist(), found.field("high").to_pylist())
-                removed = removed_spans(list(pairs), len(text), length)
+                low, high = (found.field(x).to_numpy().astype(np.int64) for x in ("low", "high"))
+                runs = low < 0
+                if runs.any():
+                    low[runs] = ~low[runs]
+                    starts, ends = words_of(np.frombuffer(text, np.uint8))
+                    high[runs] = ends[np.searchsorted(starts, low[runs]) + words - 1] - length
+                removed = removed_spans(list(zip(low.tolist(), high.tolist())), len(text), length)
                 left = kept(text, removed)
                 rows.append((batch.column("k")[i].as_py(), len(text) - len(left), len(removed), hashlib.sha256(left).hexdigest(), left))
             columns = list(zip(*rows)) if rows else [[]] * 5
@@ -387,11 +429,12 @@ def mark_repeats(
 
 
 def remove_repeats(
-    df: DataFrame, length: int = 400, text_col: str = "text", chars_col: str | None = None, phrase: int = PHRASE
+    df: DataFrame, length: int = 400, text_col: str = "text", chars_col: str | None = None, phrase: int = PHRASE, words: int | None = None
 ) -> DataFrame:
     """df with its repeats removed from `text_col`; characters that a cut would split go too, null texts stay null.
 
-    `chars_col` names a column that holds the number of characters, if there is one.
+    `chars_col` names a column that holds the number of characters, if there is one. With `words`, repeated runs of so many words
+    go too where they have fewer than `length` bytes.
     """
     if length <= TRIGGER:
         raise ValueError(f"length must be above {TRIGGER}")
@@ -399,7 +442,7 @@ def remove_repeats(
     names = [f"c{i}" for i in range(len(df.columns))]
     text = names[df.columns.index(text_col)]
     rows = df.toDF(*names).withColumn("k", F.xxhash64(F.coalesce(text, F.lit(""))))
-    copies, partly = _found(_with_key(df, text_col, text_col), length, phrase)
+    copies, partly = _found(_with_key(df, text_col, text_col), length, phrase, words)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
