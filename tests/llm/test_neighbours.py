@@ -104,3 +104,28 @@ def test_all_points_are_found_where_the_beam_is_wide():
     places, _ = ann.walk(points, np.full((60, 4), -1), queries, 64)
     places = places[:, :60]
     assert (places == np.argsort(-(queries @ points.T), axis=1, kind="stable")).all()
+
+
+@pytest.mark.parametrize("clusters", [10, 50, 200, 380])
+def test_every_cluster_of_a_full_shard_is_found(clusters):
+    generator = np.random.default_rng(clusters)
+    centres = generator.normal(size=(clusters, 32))
+    base = centres[np.arange(8192) % clusters] + 0.1 * generator.normal(size=(8192, 32))
+    points = ann.unit(base, float(np.linalg.norm(base, axis=1).max()))
+    near, k = np.full((8192, 2 * ann.NEIGHBOURS), -1, np.int64), ann.NEIGHBOURS
+    for low in range(0, 8192, 1024):
+        scores = points[low : low + 1024] @ points.T
+        scores[np.arange(1024), np.arange(low, low + 1024)] = -np.inf
+        near[low : low + 1024, :k] = np.argpartition(-scores, k, axis=1)[:, :k]
+    queries = np.concatenate((base[:200] / np.linalg.norm(base[:200], axis=1)[:, None], np.zeros((200, 1))), axis=1).astype(np.float32)
+    places, _ = ann.walk(points, near, queries, ann.BEAM)
+    wanted = np.argsort(-(queries @ points.T), axis=1, kind="stable")[:, :20]
+    hit = sum(len(set(x) & set(y)) for x, y in zip(places[:, :20].tolist(), wanted.tolist()))
+    assert hit >= 0.9 * wanted.size
+
+
+def test_walks_start_in_every_part_of_a_graph():
+    near = np.full((5000, 2), -1, np.int64)
+    near[:, 0] = np.arange(5000) // 2 * 2 + 1 - np.arange(5000) % 2  # pairs
+    entries = ann.entries_of(near, 160)
+    assert len(entries) == len(set(entries.tolist())) and set((entries // 2).tolist()) == set(range(2500))

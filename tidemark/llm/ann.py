@@ -8,11 +8,12 @@ as a result can show. Nodes are dealt to shards of about `shard_rows` by a hash
   with itself: a node's neighbours, and up to as many that list it, hand it their own neighbours, and it keeps the best `k` of all.
   Rounds end when less than `least_change` of the lists changes, or after `rounds`. All lists that are joined have at most 2k entries;
   a node that very many others list hands out k of them, chosen by hash.
-* Searching. Blocks of queries meet shards by a key. All queries of a block walk the shard's graph together in numpy: each opens its
-  best nodes not yet opened, until none of its best `beam` is left. The best of all shards are ranked by exact products of the original
+* Searching. Blocks of queries meet shards by a key. All queries of a block walk the shard's graph together in numpy: each scores the
+  entries, one in `ENTRY_EVERY` nodes and one more wherever nodes can't be reached from those, and opens its best nodes not yet opened,
+  until none of its best `beam` is left. The best of all shards are ranked by exact products of the original
   vectors in double precision.
 
-Every row is indexed. The search is approximate: neighbours that no path of good nodes leads to are missed. In a shard of up to `beam`
+Every row is indexed. The search is approximate: neighbours that no path of good nodes leads to from an entry are missed. In a shard of up to `beam`
 nodes it is exact.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids, nor vectors of another length than
@@ -40,6 +41,7 @@ CELL = 96
 DIRECTIONS = 2
 OPENED = 6
 ENTRIES = 32
+ENTRY_EVERY = 8
 
 
 def sound(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -135,13 +137,37 @@ def joined_lists(graph: DataFrame, k: int) -> DataFrame:
     return forth.unionByName(back).groupBy("shard", "at").agg(F.collect_set("to").alias("near"))
 
 
+def entries_of(near: np.ndarray, beam: int) -> np.ndarray:
+    """Places where walks start: some all over the shard, in number growing with it, and one in each part of the graph that these don't
+    lead to. All of a shard of up to `beam` nodes."""
+    n = len(near)
+    if n <= beam:
+        return np.arange(n)
+    entries = np.unique(np.linspace(0, n - 1, min(n, max(ENTRIES, n // ENTRY_EVERY))).astype(np.int64))
+    reached = np.zeros(n + 1, np.bool_)
+    reached[n] = True  # stands for -1
+    new, more, at = entries, [], 0
+    while True:
+        reached[new] = True
+        while len(new):
+            found = np.unique(near[new])
+            new = found[~reached[found]]
+            reached[new] = True
+        while at < n and reached[at]:
+            at += 1
+        if at == n:
+            return np.concatenate((entries, np.array(more, np.int64)))
+        more.append(at)
+        new = np.array([at])
+
+
 def walk(points: np.ndarray, near: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the best `beam` points each query finds (place -1 where there are fewer).
 
     `near` has a row of neighbours per point, filled up with -1.
     """
     n, m, rows = len(points), len(queries), np.arange(len(queries))[:, None]
-    entries = np.linspace(0, n - 1, min(n, max(ENTRIES, 0) if n > beam else n)).astype(np.int64)
+    entries = entries_of(near, beam)
     seen = np.zeros((m, n + 1), np.bool_)
     seen[:, n] = True  # stands for -1
     seen[:, entries] = True
