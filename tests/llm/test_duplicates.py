@@ -92,6 +92,34 @@ def test_repeated_ids_and_empty_tables(spark):
     assert jaccard.keep_one_of_each(df.limit(0)).collect() == []
 
 
+def test_keys_of_many_unlike_sets(spark, monkeypatch):
+    """Half of every text is the same, so many keys are shared by sets that are not alike."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    chosen = random.Random(9)
+    word = lambda: "".join(chosen.choice("abcdefghijkl") for _ in range(6))
+    common, rows = [word() for _ in range(100)], []
+    for i in range(60):
+        words = common + [word() for _ in range(100)]
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            words[150] = word()
+            rows.append((100 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = jaccard.similar_groups(df, 3, 90)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == groups(rows, 3, 90)
+    sets = jaccard.shingles([t.encode() for _, t in rows], 3)
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for (i, _), x in zip(rows, sets)], "node long, items binary")
+    met = jaccard._rarest(sets, 90).groupBy("key").agg({"node": "collect_list"}).collect()
+    assert {tuple(sorted(r[1])) for r in met} == {(i, 100 + i) for i in range(0, 60, 10)}  # unlike sets don't meet
+
+
+def test_strays_are_cut_into_blocks(spark):
+    rows = spark.range(6000).selectExpr("7L AS key", "-1L AS main", "id AS node", "id AS label", "id div 512 AS block", "9L AS n", "X'00' AS short")
+    runs = jaccard._sides(rows).groupBy("run").pivot("side", [0, 1]).count().collect()
+    assert len(runs) == 12 * 12 and max(r["1"] for r in runs) < 2 * 512 and max(r["0"] for r in runs) <= 512
+    assert sum(r["0"] * r["1"] for r in runs) == 6000**2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 201), (200, 202), (201, 202)]
     found = components.components(spark.createDataFrame(chain, "a long, b long"))

@@ -18,8 +18,10 @@ bucket, so that a key which very many sets share is no large group there; the hu
 Candidates are (hub, member) pairs, linear in the index. A fingerprint per set,
 the shingles' sums in a few times k small cells, gives a lower bound of the difference that discards most pairs unlike;
 what is left is verified exactly on the sets themselves. Then, until nothing is open: members that aren't in their hub's
-component are compared with all other members of the key, in blocks, by fingerprint and verified, so no link is lost and
-no group is expanded into its pairs. Components come from the links.
+  component, its strays, are compared with all other members of the key by fingerprint, a block of strays with a block of
+  members at a time, and verified, so no link is lost. Where a key has more strays than a block, most are unlike: there the sets of all
+  such keys meet under other keys instead, each set's rarest shingles. With n shingles these are the first n - ceil(n * percent / 100) + 1
+  in an order that all sets share, and of two linked sets at least one of them is the same. Components come from the links.
 
 Words are runs of `[^ \\t-\\r]`, A to Z lower-cased. A text with fewer words than a shingle has is one shingle; one without
 words, empty or null, has no shingle and no link. Null ids are kept as such and never name a component unless it has no other.
@@ -44,6 +46,7 @@ BATCH_BYTES = 4 << 20
 CHUNK_BYTES = 256 << 10
 BLOCK = 512
 SHORT = 128
+SLOTS = 1 << 20  # of the table of how often shingles occur
 PACKED_KEYS = 2 << 20  # keys that a task gathers before it packs them
 NODES_PER_BUCKET = 2000
 STEP = 1.25  # from one band of sizes to the next; a linked set is at most in the next one
@@ -341,9 +344,8 @@ def _by_fingerprint(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """The pairs (a, b) that link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node and items (its shingles) of the wanted nodes, and of some others."""
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("id").alias("wanted")).distinct()
     asked = rows_with_keys(docs, F.coalesce(F.col("id").cast("string"), F.lit("")), ids.select(F.coalesce(F.col("wanted").cast("string"), F.lit(""))))
     texts = asked.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
@@ -355,6 +357,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, b
             columns = [pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "items"])
 
+    return texts.select("text").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that link."""
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes, width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -364,13 +373,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, b
                 good.append(100 * both >= bands.percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    found = texts.select("text").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"])
     x = found.select(F.col("node").alias("a"), F.col("items").alias("x"))
     y = found.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """key and node: the rarest shingles of each set, as many as make sure that linked sets have one in common, where several sets
+    have them. How often shingles occur is counted in a table of fixed size, which is all that reaches the driver."""
+
+    def slots(items: np.ndarray) -> np.ndarray:
+        return (mix(items, 51) & U64(SLOTS - 1)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for items in batch.column("items").to_pylist():
+                np.add.at(total, slots(np.frombuffer(items, U64)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    counts = sets.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist()):
+                items = np.frombuffer(items, U64)
+                first = len(items) + 1 + -percent * len(items) // 100
+                chosen = items[np.lexsort((items, shared.value[slots(items)]))[:first]]
+                yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64)), pa.array(np.full(len(chosen), node))], names=["key", "node"])
+
+    keys = keep(sets.mapInArrow(rare, "key long, node long"), "jaccard")
+    return keys.join(keys.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """run, side, node, label, n and short: for each key of `rows` (key, main, block, node, label, n, short) every block of its members
+    (side 0) with every block of its strays, which aren't labelled main (side 1)."""
+    strays = rows.filter("label <> main").select("key", "node", "label", "n", "short")
+    many = strays.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("many"))
+    part = F.pmod(F.xxhash64(F.lit("stray"), "node"), "many").alias("part")
+    strays = strays.join(many, "key").select("key", "node", "label", "n", "short", part)
+    members = rows.join(strays.select("key", "part").distinct(), "key")
+    columns = [F.xxhash64("key", "block", "part").alias("run"), "node", "label", "n", "short"]
+    return members.select(F.lit(0).alias("side"), *columns).unionByName(
+        strays.join(rows.select("key", "block").distinct(), "key").select(F.lit(1).alias("side"), *columns)
+    )
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
     """Pairs (a, b) of one key and of different components that short fingerprints allow: every member outside its hub's
     component against all members of the key."""
     of_node = labels.select("node", F.col("label").alias("own"))
@@ -382,12 +436,16 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, bands:
     main = known.groupBy("key").agg(F.min("hubs").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"))
     main = main.filter("low <> high").select("key", "main")
     rows = keep(known.drop("hubs").join(main, "key").join(nodes.select("node", "n", "short"), "node"), "jaccard")
-    strays = rows.filter("label <> main").select("key", "node", "label", "n", "short")
-    blocks = rows.select("key", "block").distinct()
-    sides = rows.select("key", "block", F.lit(0).alias("side"), "node", "label", "n", "short").unionByName(
-        strays.join(blocks, "key").select("key", "block", F.lit(1).alias("side"), "node", "label", "n", "short")
-    )
-    sides = sides.withColumn("run", F.xxhash64("key", "block")).drop("key", "block")
+    wide = keep(rows.filter("label <> main").groupBy("key").count().filter(F.col("count") > BLOCK).select("key"), "jaccard")
+    sides = _sides(rows.join(wide, "key", "left_anti"))
+    if not wide.isEmpty():
+        apart = keep(rows.join(wide, "key", "left_semi").select("node", "label", "n", "short").dropDuplicates(["node"]), "jaccard")
+        sets = keep(_sets(apart.select("node"), docs, nodes, width).join(apart.select("node"), "node", "left_semi"), "jaccard")
+        again = _rarest(sets, bands.percent).join(apart, "node")
+        of_key = again.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).alias("many"))
+        again = again.join(of_key.filter("main <> high").drop("high"), "key")
+        block = F.pmod(F.xxhash64(F.lit("member"), "node"), "many").alias("block")
+        sides = sides.unionByName(_sides(keep(again.select("key", "main", block, "node", "label", "n", "short"), "jaccard")))
     ordered = sides.repartition("run").sortWithinPartitions("run", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +497,7 @@ def similar_groups(df: DataFrame, width: int = 3, percent: int = 90, id_col: str
     pairs = keep(_by_fingerprint(pairs, nodes, bands), "jaccard")
     links = keep(_verified(pairs, docs, nodes, width, bands), "jaccard")
     labels = components(links)
-    more = keep(_open_pairs(members, labels, nodes, bands).join(pairs, ["a", "b"], "left_anti"), "jaccard")
+    more = keep(_open_pairs(members, labels, docs, nodes, width, bands).join(pairs, ["a", "b"], "left_anti"), "jaccard")
     more = keep(_by_fingerprint(more, nodes, bands), "jaccard")
     if not more.isEmpty():
         more = keep(_verified(more, docs, nodes, width, bands), "jaccard")
