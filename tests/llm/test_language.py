@@ -43,3 +43,23 @@ def test_the_sample_is_bounded_and_the_same_each_time(spark):
     models = [language.fit(df.repartition(n), sample_rows=400) for n in (2, 5)]
     assert models[0].languages == ("en",)
     assert models[0].weights == pytest.approx(models[1].weights)
+
+
+def test_scoring_of_a_long_text_takes_no_row_per_ngram():
+    import tracemalloc
+
+    import numpy as np
+
+    generator = np.random.default_rng(1)
+    weights = np.log(generator.random((1 << 15, 64)))
+    model = language.Model(tuple(f"l{i:02}" for i in range(64)), weights, np.zeros(64))
+    text = "".join(map(chr, generator.integers(0x4E00, 0x9000, 400_000)))
+    texts = [text, "short text", None, "?!", "another one", text[:9000]]
+    tracemalloc.start()
+    langs, _ = language.score(model, texts, 1 << 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # a row of weights per n-gram would be 400 MB
+    for x, lang in zip(texts, langs):
+        found = language.ngrams(x or "", 1 << 15)
+        assert lang == (model.languages[weights[found].sum(axis=0).argmax()] if len(found) else "und")

@@ -5,8 +5,9 @@ n-grams of two and three characters are hashed to `buckets` columns. A model hol
 every bucket in every language (counts plus `smoothing`) and the languages' log-priors. The fit takes a
 bounded sample of the labelled rows, `sample_rows` at about, chosen by a hash of the id; its counts are summed
 per task before they meet. The matrix is broadcast: languages times buckets numbers, and the languages are at
-most `max_languages`, the most frequent ones in the sample. Every text is scored whole, in batches: its
-n-grams are the rows of a sparse matrix, multiplied with the model in numpy.
+most `max_languages`, the most frequent ones in the sample. Every text is scored whole, in batches: the
+counts of its buckets are a row of a sparse matrix (indices, counts and where rows begin), multiplied with the model in numpy
+by segments of about `SEGMENT` entries.
 
 Null texts and texts without letters are `und` with score 0. Without any labelled text every row is `und`.
 Texts labelled null or without letters teach nothing. Ties go to the language that sorts first. Repeated rows
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import by_bytes, ship
 
 BATCH_BYTES = 8 << 20
+SEGMENT = 1 << 15
 UNKNOWN = "und"
 
 
@@ -117,17 +119,36 @@ def fit(
         return Model(languages, np.log(table / table.sum(axis=0)), np.log(docs / max(docs.sum(), 1)))
 
 
+def counted(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets among some n-grams, and how often each occurs."""
+    if len(found) < buckets:
+        return np.unique(found, return_counts=True)
+    counts = np.bincount(found, minlength=buckets)
+    return np.flatnonzero(counts), counts[counts > 0]
+
+
+def multiplied(rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
+    """The product of a sparse matrix, rows of buckets and counts (none empty), and the weights."""
+    out, start = np.empty((len(rows), weights.shape[1])), 0
+    while start < len(rows):
+        end, entries = start, 0
+        while end < len(rows) and (end == start or entries + len(rows[end][0]) <= SEGMENT):
+            entries += len(rows[end][0])
+            end += 1
+        indices, counts = (np.concatenate([row[k] for row in rows[start:end]]) for k in (0, 1))
+        begins = np.cumsum([0] + [len(row[0]) for row in rows[start : end - 1]])
+        out[start:end] = np.add.reduceat(weights[indices] * counts[:, None], begins, axis=0)
+        start = end
+    return out
+
+
 def score(model: Model, texts: list[str | None], buckets: int) -> tuple[list[str], np.ndarray]:
     """The most probable language of every text and its probability."""
-    found = [ngrams(x, buckets) if x else np.empty(0, np.int64) for x in texts]
-    sizes = np.array([len(x) for x in found], np.int64)
+    rows = [counted(ngrams(x, buckets) if x else np.empty(0, np.int64), buckets) for x in texts]
     langs, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    at = np.flatnonzero(sizes)
+    at = np.flatnonzero([len(x) for x, _ in rows])
     if len(at) and model.languages:
-        sums = np.empty((len(at), len(model.languages)))
-        for row, i in enumerate(at):
-            sums[row] = model.weights[found[i]].sum(axis=0)
-        sums += model.priors
+        sums = multiplied([rows[i] for i in at], model.weights) + model.priors
         best = sums.argmax(axis=1)
         top = sums[np.arange(len(at)), best]
         sure[at] = 1 / np.exp(sums - top[:, None]).sum(axis=1)
