@@ -1,14 +1,12 @@
-"""Repeated byte strings across documents, from merged Burrows-Wheeler transforms over phrases.
+"""Repeated byte strings across documents, from hashes of phrase sequences.
 
 A byte is removed where a string of `length` bytes that also starts anywhere else covers it.
 
 * Parsing. Texts are cut into phrases after every 8 bytes whose hash is 0 modulo `PHRASE` (prefix-free parsing), so equal strings
   are cut alike from their ninth byte on. A shard, the texts of one task, keeps the cuts and a hash per phrase. Suffixes start
   at phrases, one for some fifty bytes.
-* Merging. A shard's suffixes that share their first phrases are a block; the block and the phrase before it are what its
-  Burrows-Wheeler transform holds in a row. The interleave of all shards is refined by rounds: blocks are split by more
-  phrases, named by the hash of those, and counted across shards. A block of one suffix is settled and takes no further part, so nothing
-  that earlier rounds told apart is sorted again. The depth at which a suffix is left alone is its common prefix with all others.
+* Grouping. Suffixes are grouped across shards by a hash of their first phrase, then of their first `DEPTH` phrases; only those that
+  share it with another one take part in the next round. No order of suffixes and no transform is built.
 * Repeated intervals. The last round goes down to all phrases that lie within a string of `length` bytes. Strings whose block is
   single occur once. Where all of a block's suffixes have equal bytes up to the ends of the strings, all these are repeated.
   Else phrases before or after differ, and the strings at these ends, and only those, are compared one by one by their hashes.
