@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, byte_bpe, jaccard, language, packing, sharding, suffix_dedup, token_counts, topk, warc
+from tidemark.llm import ann, byte_bpe, clustering, jaccard, language, packing, sharding, suffix_dedup, token_counts, topk, warc
 from tidemark.llm.common import keep, table, work_folder
 
 
@@ -73,6 +73,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(embeddings, embeddings.filter("vec_id % 100 = 0"), k=10)
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(*clustering.clusters_of(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -84,8 +88,33 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
+    "op11_clustering": op11_clustering,
 }
 
+
+def _rounds_sql(rounds: int) -> str:
+    """Centroids c0 ... c<rounds> and the assignments a0 ... a<rounds> of every vector to each of them."""
+    parts = []
+    for i in range(rounds + 1):
+        if i:
+            parts.append(f"""l{i} AS (
+    SELECT c, unnest(v) AS x, unnest(range(64)) AS pos FROM a{i - 1}
+), m{i} AS (
+    SELECT c, pos, CAST(sum(x) AS HUGEINT) AS total, count(*) AS n FROM l{i} GROUP BY ALL
+), c{i} AS (
+    SELECT c, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS v FROM m{i} GROUP BY c
+    UNION ALL SELECT c, v FROM c{i - 1} WHERE c NOT IN (SELECT c FROM m{i})
+)""")
+        parts.append(f"""d{i} AS (
+    SELECT r, vec_id, s.v, c,
+           CAST(list_sum(list_transform(list_zip(s.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM sound s, c{i} k
+), a{i} AS (
+    SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1
+)""")
+    return ", ".join(parts)
+
+
 SQL = {
     "op4_warc": """
 WITH records AS (
@@ -117,6 +146,24 @@ WITH rows AS (
 SELECT doc_id, n_bytes, shortest.depth, shard_bytes, shard_rows, shard_bytes > 1048576 AS oversized,
        substr(right(repeat('0', 60) || bin(bits), 60), 1, shortest.depth) AS shard
 FROM shortest JOIN fitting ON shortest.depth = fitting.depth AND shortest.bits >> (60 - shortest.depth) = fitting.prefix
+""",
+    "op11_clustering": """
+WITH sound AS (
+    SELECT row_number() OVER () AS r, vec_id,
+           list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), hashed AS (
+    SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS hash, v FROM sound ORDER BY hash NULLS LAST, v LIMIT 16
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY hash NULLS LAST, v) - 1 AS c, v FROM hashed
+), """
+    + _rounds_sql(3)
+    + """
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
 """,
     "op10_topk": """
 WITH sound AS (
