@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, byte_bpe, clustering, jaccard, language, packing, sharding, suffix_dedup, token_counts, topk, warc
+from tidemark.llm import ann, byte_bpe, clustering, jaccard, language, packing, ranked_search, sharding, suffix_dedup, token_counts, topk, warc
 from tidemark.llm.common import keep, table, work_folder
 
 
@@ -77,6 +77,10 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.with_inertia(*clustering.clusters_of(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
     "op11_clustering": op11_clustering,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 
@@ -164,6 +169,35 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance,
        CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
        CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
 FROM a3 JOIN c3 USING (c)
+""",
+    "op12_ranked_search": r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL
+), docs AS (
+    SELECT *, len(terms) AS n FROM words WHERE len(terms) > 0
+), totals AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), postings AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY ALL
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), scores AS (
+    SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN docs USING (r), totals
+    WHERE doc_id IS NOT NULL GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
 """,
     "op10_topk": """
 WITH sound AS (
