@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, byte_bpe, clustering, jaccard, language, packing, ranked_search, sharding, suffix_dedup, token_counts, topk, warc
+from tidemark.llm import ann, byte_bpe, clustering, jaccard, language, packing, quality, ranked_search, sharding, suffix_dedup, token_counts, topk, warc
 from tidemark.llm.common import keep, table, work_folder
 
 
@@ -81,6 +81,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    learned = quality.fit(documents, table(spark, sf_dir, "labels").filter(~held_out()))
+    return quality.score(documents, learned, threshold=0.3).withColumn("held_out", held_out())
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -94,6 +101,7 @@ QUERIES = {
     "op10_topk": op10_topk,
     "op11_clustering": op11_clustering,
     "op12_ranked_search": op12_ranked_search,
+    "op13_quality": op13_quality,
 }
 
 
