@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import curves
+from tidemark.operators import counting, curves, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +92,27 @@ def test_largest_gap(samples):
 def test_largest_gap_needs_two_samples(spark, samples):
     (row,) = curves.ks_exact(samples[2], samples[2].filter("x IS NULL"), "x").collect()
     assert row["ks"] is None
+
+
+def test_density_of_points_far_apart(spark):
+    """Steps of many bandwidths, and values anywhere between the points."""
+    values = np.concatenate([np.random.default_rng(1).normal(size=5000), [-4000.0, 4000.0]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    h = np.std(values, ddof=1) * len(values) ** -0.2
+    for row in curves.density_curve(df, "x", 9).collect():
+        wanted = np.exp(-0.5 * ((row["x"] - values) / h) ** 2).sum() / (len(values) * h * np.sqrt(2 * np.pi))
+        assert row["density"] == pytest.approx(wanted, rel=1e-9, abs=0)
+
+
+@pytest.mark.parametrize("slice_rows, most", [(100, 130), (3000, 3900)])
+def test_slices_grow_with_the_rows(spark, monkeypatch, slice_rows, most):
+    """Cut once or twice, no slice is much larger than asked for, but for a value that is itself more frequent."""
+    monkeypatch.setattr(quantiles, "FAN", 32)
+    df = spark.range(40_000).select(F.when(F.col("id") % 5 == 0, -7.0).otherwise(F.col("id") * 7919 % 40_009).cast("double").alias("x"))
+    edges = quantiles.cut_points(df, "x", slice_rows)
+    sizes = counting.add_bin(df, "x", edges, "slice").filter("x >= 0").groupBy("slice").count().collect()
+    assert len(sizes) >= 32_000 / most and max(r["count"] for r in sizes) <= most
+    monkeypatch.setattr(curves, "cut_points", lambda *x: edges)
+    found = sorted(curves.ecdf(df, "x").collect())
+    assert found[0]["cdf"] == 0.2 and found[-1]["cdf"] == 1 and len(found) == 32_001
+    assert all(a["cdf"] < b["cdf"] for a, b in zip(found, found[1:]))

@@ -71,9 +71,7 @@ def test_exact_quantiles_against_numpy(spark):
     assert found == wanted.tolist()
 
 
-@pytest.mark.parametrize("lanes", [1, 3, 64])
-def test_sketch_error_holds_however_sketches_are_merged(spark, monkeypatch, lanes):
-    monkeypatch.setattr(quantiles, "LANES", lanes)
+def test_sketch_error_holds(spark):
     error, n_bins = 0.02, 10
     df = spark.range(0, 40_000, numPartitions=16).select(
         (F.col("id") * F.col("id") % 39_989).cast("double").alias("a"),
@@ -90,6 +88,38 @@ def test_sketch_error_holds_however_sketches_are_merged(spark, monkeypatch, lane
             assert low - slack <= i / n_bins * len(values) <= high + slack, (name, i)
 
 
+def test_exact_quantiles_narrow_slices_that_are_too_large(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FAN", 8)
+    monkeypatch.setattr(quantiles, "FAN_ERROR", 1 / 32)
+    generator = np.random.default_rng(8)
+    table = {"a": generator.normal(size=9000), "b": np.where(generator.random(9000) < 0.4, 3.0, generator.random(9000)), "c": np.zeros(9000)}
+    df = spark.createDataFrame([tuple(map(float, row)) for row in zip(*table.values())], "a double, b double, c double").repartition(5)
+    rounds = []
+    narrowed = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *x: rounds.append(1) or narrowed(*x))
+    found = {r["feature"]: r["quantiles"] for r in quantiles.exact_quantiles(df, list(table), 7, slice_rows=40).collect()}
+    assert len(rounds) >= 2
+    for name, values in table.items():
+        assert found[name] == np.quantile(values, np.arange(8) / 7, method="inverted_cdf").tolist()
+
+
+def test_merged_sketches_are_those_of_all_rows(spark, tmp_path):
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_011).cast("double").alias("x"), F.lit(None).cast("int").alias("none"))
+    parts = [quantiles.quantile_sketches(df.filter(f"x % 3 = {i}"), ["x", "none"], 0.01) for i in range(3)]
+    parts[0].write.parquet(f"{tmp_path}/s")
+    merged = quantiles.merged_sketches(spark.read.parquet(f"{tmp_path}/s"), *parts[1:])
+    (row,) = quantiles.sketch_quantiles(merged, 10).collect()
+    values = np.sort(df.toPandas()["x"].to_numpy())
+    assert merged.first()["n"] == 30_000 and row["quantiles"][0] == values[0] and row["quantiles"][-1] == values[-1]
+    for i, v in enumerate(row["quantiles"]):
+        assert abs(np.searchsorted(values, v) - i * 3000) <= 301
+
+
+def test_sketches_have_a_limit():
+    with pytest.raises(ValueError, match="exact_quantiles"):
+        quantiles.sketch_size(1e-5)
+
+
 def test_histogram_counts_missing_numbers_in_the_whole(spark):
     df = numbers(spark, [1.0, 2.0, nan, None])
     assert rows(numeric_histogram(df, {"x": [-inf, 1.5, inf]})) == [
@@ -130,7 +160,7 @@ def test_all_numeric_types(spark):
         assert [b["n"] for b in row["bins"]] == [b["n"] for b in found[0]["bins"]]
 
 
-def test_many_columns_are_counted_in_several_scans(spark):
+def test_many_columns_are_counted(spark):
     wide = spark.range(100).select(*[(F.col("id") + i).cast("double").alias(f"c{i}") for i in range(70)])
     found = profile_table(wide, Settings(infer_features=True)).collect()
     assert sorted(r["feature_name"] for r in found) == sorted(f"c{i}" for i in range(70))

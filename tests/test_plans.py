@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tidemark import Settings, fit_baseline
-from tidemark.operators import categories, counting, curves, divergence, schema_diff
+from tidemark.operators import categories, counting, curves, divergence, quantiles, schema_diff
 from tidemark.plans.monitor import counts_on_baseline, measured_features
 from tidemark.plans.profiling import categorical_profile
 
@@ -83,3 +83,23 @@ def test_curves_pair_no_rows(lineitem):
     ):
         plan = final_plan(df)
         assert no_pairing_of_all_rows(plan) and "Python" not in plan
+
+
+def test_any_number_of_columns_takes_one_scan_of_each_kind(spark, tmp_path):
+    names = [f"c{i}" for i in range(40)]
+    spark.range(500).select(*[(F.col("id") * (i + 1) % 17).alias(x) for i, x in enumerate(names)]).write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    edges = {x: [float("-inf"), 3.0, 9.0, float("inf")] for x in names}
+    known = {x: {"value": ["1", "5"], "missing": []} for x in names}
+    for found in (
+        counting.numeric_counts(wide, edges),
+        counting.category_counts(wide, names),
+        counting.known_category_counts(wide, known),
+        counting.category_counts_of_two(wide, wide, names),
+        quantiles.sketched_quantiles(wide, names, 4, 0.05),
+        schema_diff.null_rates(wide, names + names),
+    ):
+        plan = final_plan(found)
+        # rows of two tables are two scans
+        assert plan.count("FileScan parquet") == (2 if "n_ref" in found.columns else 1) and "Python" not in plan
+        assert found.select("feature").distinct().count() == 40

@@ -1,34 +1,61 @@
-"""Counts of every watched column in long form: one scan and one shuffle for a group of columns."""
+"""Counts of every watched column in long form: one scan and one shuffle for all columns of a kind.
+
+A row is unfolded into one cell per column, which holds the column's position and its value; all that differs between columns
+(edges, known categories) is found by position in a table of constants. So the generated code does not grow with the columns.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
-from functools import reduce
-from itertools import islice
-from math import inf
+from collections.abc import Mapping, Sequence
+from math import inf, nan
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import ABSENT, NO_NUMBER_BIN, REST, VALUE, category, column, number, quoted, without_nan
-
-# Columns that share one scan. A row is unfolded into as many cells as the scan has columns, and the
-# generated code grows with them: eight columns of 12 million rows take 1.1 s, thirty-two 39 s, because
-# the JVM no longer compiles a method that long. Further scans read the further columns only.
-COLUMNS_PER_SCAN = 8
+from ..functions.values import ABSENT, NO_NUMBER_BIN, REST, VALUE, category, number, quoted, without_nan
+from ..sources.tables import literal_table
 
 
 def add_bin(df: DataFrame, feature: str, edges: Sequence[float], bin_column: str = "bin") -> DataFrame:
     """Add the bin of one numeric column.
 
-    Bin i is [edges[i], edges[i + 1]), the last one closed; null, NaN and values outside are bin -1.
+    Bin i is [edges[i], edges[i + 1]), the last one closed; null, NaN and values outside are bin -1. Bucketizer
+    searches the edges by bisection on the JVM, however many there are. It takes two bins or more, so a single bin
+    is settled by the first test alone.
     """
-    return _with_bins(df, {bin_column: (number(feature), edges)})
+    value, plain = number(feature), df.columns
+    if len(edges) > 2:
+        df = Bucketizer(
+            inputCol=f"__in_{bin_column}",
+            outputCol=f"__bin_{bin_column}",
+            splits=[-inf, *map(float, edges[1:-1]), inf],
+            handleInvalid="keep",
+        ).transform(df.withColumn(f"__in_{bin_column}", without_nan(value)))
+        found = F.col(f"__bin_{bin_column}").cast("int")
+    else:
+        found = F.when(without_nan(value).isNotNull(), 0)
+    # outer edges are infinite in all profiles; finite ones leave values outside without a bin
+    if edges[0] > -inf:
+        found = F.when(value >= F.lit(float(edges[0])), found)
+    if edges[-1] < inf:
+        found = F.when(value <= F.lit(float(edges[-1])), found)
+    return df.select(*[F.col(quoted(c)) for c in plain], F.coalesce(found, F.lit(NO_NUMBER_BIN)).alias(bin_column))
 
 
 def numeric_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
     """Rows per bin: feature, ord, n, n_valued (not null), lo, hi (smallest and largest value)."""
-    return _per_scan(list(edges), lambda names: _bin_counts(df, {x: edges[x] for x in names}))
+    _require_names(edges)
+    return (
+        binned_cells(df, edges)
+        .groupBy("position", "ord")
+        .agg(
+            F.count("*").alias("n"),
+            F.count("value").alias("n_valued"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+        )
+        .select(name_at(list(edges)), "ord", "n", "n_valued", "lo", "hi")
+    )
 
 
 def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -37,50 +64,47 @@ def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     Exact, so a column without repeats shuffles all its values; map-side aggregation makes a
     category one row per task, however many rows it holds.
     """
-
-    def scan(names: Sequence[str]) -> DataFrame:
-        counts = _category_cells(df, names).groupBy("position", "key").agg(F.count("*").alias("n"))
-        return counts.select(name_at(names), _kind_of_key(), "key", "n")
-
-    return _per_scan(features, scan)
+    _require_names(features)
+    counts = _category_cells(df, features).groupBy("position", "key").agg(F.count("*").alias("n"))
+    return counts.select(name_at(features), _kind_of_key(), "key", "n")
 
 
 def category_counts_of_two(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows per category on both sides: feature, kind, key, n_ref, n_cur. One shuffle, no join."""
+    _require_names(features)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-
-    def scan(names: Sequence[str]) -> DataFrame:
-        before = _category_cells(reference, names).select("*", one.alias("n_ref"), zero.alias("n_cur"))
-        after = _category_cells(current, names).select("*", zero.alias("n_ref"), one.alias("n_cur"))
-        counts = (
-            before.unionByName(after)
-            .groupBy("position", "key")
-            .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-        )
-        return counts.select(name_at(names), _kind_of_key(), "key", "n_ref", "n_cur")
-
-    return _per_scan(features, scan)
+    before = _category_cells(reference, features).select("*", one.alias("n_ref"), zero.alias("n_cur"))
+    after = _category_cells(current, features).select("*", zero.alias("n_ref"), one.alias("n_cur"))
+    counts = (
+        before.unionByName(after)
+        .groupBy("position", "key")
+        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    )
+    return counts.select(name_at(features), _kind_of_key(), "key", "n_ref", "n_cur")
 
 
 def known_category_counts(df: DataFrame, known: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
     """Rows per known category, everything else summed as 'other': feature, kind, key, n, n_valued.
 
-    known gives for each feature its keys by kind. They are few (the caller checks), so they are
-    tested in the scan itself and the shuffle carries only known keys, whatever the cardinality.
+    known gives for each feature its keys by kind. They are few (the caller checks), so they are sent to every
+    task and looked up in the scan; the shuffle carries only known keys, whatever the cardinality. Missing values
+    are a known category only where the list says so, else they are among the rest.
     """
-
-    def scan(names: Sequence[str]) -> DataFrame:
-        texts = df.select(*[category(x).alias(f"k{i}") for i, x in enumerate(names)])
-        cells = [_known_cell(i, known[x]) for i, x in enumerate(names)]
-        kind = F.when(F.col("key").isNotNull(), VALUE).when(F.col("absent"), ABSENT).otherwise(REST)
-        return (
-            texts.select(F.inline(F.array(*cells)))
-            .groupBy("position", "key", "absent")
-            .agg(F.count("*").alias("n"), F.sum("valued").alias("n_valued"))
-            .select(name_at(names), kind.alias("kind"), "key", "n", "n_valued")
-        )
-
-    return _per_scan(list(known), scan)
+    names = list(known)
+    _require_names(names)
+    keys = [(i, key, True) for i, x in enumerate(names) for key in known[x].get(VALUE, ())]
+    # at most top_k keys per feature, which the caller has collected already
+    listed = F.broadcast(literal_table(df.sparkSession, keys, "position int, key string, listed boolean"))
+    absent = F.array(*[F.lit(ABSENT in known[x]) for x in names])
+    kind = F.when(F.col("listed"), VALUE).when(F.col("key").isNull() & F.get(absent, F.col("position")), ABSENT).otherwise(REST)
+    return (
+        _category_cells(df, names)
+        .join(listed, ["position", "key"], "left")
+        .select("position", kind.alias("kind"), F.when(F.col("listed"), F.col("key")).alias("key"), F.col("key").isNotNull().cast("int").alias("valued"))
+        .groupBy("position", "kind", "key")
+        .agg(F.count("*").alias("n"), F.sum("valued").alias("n_valued"))
+        .select(name_at(names), "kind", "key", "n", "n_valued")
+    )
 
 
 def name_at(names: Sequence[str]) -> Column:
@@ -88,94 +112,47 @@ def name_at(names: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(x) for x in names]), F.col("position")).alias("feature")
 
 
+def number_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """position, value: one row per row and column."""
+    return df.select(F.posexplode(F.array(*[number(x) for x in names])).alias("position", "value"))
+
+
 def _category_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    cells = ", ".join(
-        f"named_struct('position', {i}, 'key', CAST({quoted(x)} AS STRING))" for i, x in enumerate(names)
-    )
-    return df.selectExpr(f"inline(array({cells}))")
+    return df.select(F.posexplode(F.array(*[category(x) for x in names])).alias("position", "key"))
 
 
 def _kind_of_key() -> Column:
     return F.when(F.col("key").isNull(), ABSENT).otherwise(VALUE).alias("kind")
 
 
-def _known_cell(position: int, known: Mapping[str, Sequence[str]]) -> Column:
-    """absent is set only where missing values are a known category; else they are among the rest."""
-    text = F.col(f"k{position}")
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.when(text.isin(list(known.get(VALUE, ()))), text).alias("key"),
-        (text.isNull() if ABSENT in known else F.lit(False)).alias("absent"),
-        text.isNotNull().cast("int").alias("valued"),
-    )
+def constants(values: Sequence[float]) -> Column:
+    """An array of doubles; from one text, since a plan with a literal per number is slow to build."""
+    return F.split(F.lit(",".join(map(str, map(float, values)))), ",").cast("array<double>")
 
 
 def binned_cells(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
-    """position, ord, value: every number of the columns with its bin."""
-    names = list(edges)
-    values = df.select(*[number(x).alias(f"v{i}") for i, x in enumerate(names)])
-    binned = _with_bins(values, {f"b{i}": (F.col(f"v{i}"), edges[x]) for i, x in enumerate(names)})
-    cells = ", ".join(
-        f"named_struct('position', {i}, 'ord', b{i}, 'value', v{i})" for i in range(len(names))
-    )
-    return binned.selectExpr(f"inline(array({cells}))")
-
-
-def _bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
-    return (
-        binned_cells(df, edges)
-        .groupBy("position", "ord")
-        .agg(
-            F.count("*").alias("n"),
-            F.count("value").alias("n_valued"),
-            F.min("value").alias("lo"),
-            F.max("value").alias("hi"),
-        )
-        .select(name_at(list(edges)), "ord", "n", "n_valued", "lo", "hi")
-    )
-
-
-def _with_bins(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]]) -> DataFrame:
-    """Bucketizer searches the edges by bisection on the JVM, for all columns in one pass.
+    """position, ord, value: every number of the columns with its bin (see add_bin).
 
-    It takes two bins or more, so a single bin is settled by the first test alone.
+    The inner edges of all columns stand one after the other in one array, padded to a power of two less one. A bin is
+    found by as many comparisons as that power, each a step of its own, so the code is the same for any number of columns.
     """
-    several = {out: (value, edges) for out, (value, edges) in wanted.items() if len(edges) > 2}
-    plain = df.columns
-    if several:
-        df = df.withColumns({f"__in_{out}": without_nan(value) for out, (value, _) in several.items()})
-        df = Bucketizer(
-            inputCols=[f"__in_{out}" for out in several],
-            outputCols=[f"__bin_{out}" for out in several],
-            splitsArray=[[-inf, *map(float, edges[1:-1]), inf] for _, edges in several.values()],
-            handleInvalid="keep",
-        ).transform(df)
-    return df.select(
-        *[column(c) for c in plain],
-        *[_bin(out, value, edges).alias(out) for out, (value, edges) in wanted.items()],
-    )
-
-
-def _bin(out: str, value: Column, edges: Sequence[float]) -> Column:
-    """The bin found; null, which stands for null and NaN, becomes the bin without a number."""
-    if len(edges) > 2:
-        found = F.col(f"__bin_{out}").cast("int")
-    else:
-        found = F.when(without_nan(value).isNotNull(), 0)
-    # outer edges are infinite in all profiles; finite ones leave values outside without a bin
-    if edges[0] > -inf:
-        found = F.when(value >= F.lit(float(edges[0])), found)
-    if edges[-1] < inf:
-        found = F.when(value <= F.lit(float(edges[-1])), found)
-    return F.coalesce(found, F.lit(NO_NUMBER_BIN))
-
-
-def _per_scan(names: Sequence[str], scan: Callable[[Sequence[str]], DataFrame]) -> DataFrame:
+    names = list(edges)
+    inner = [list(map(float, edges[x][1:-1])) for x in names]
+    steps = max(1, max(map(len, inner)).bit_length())
+    width = (1 << steps) - 1
+    # NaN is above all numbers
+    table = constants([e for found in inner for e in [*found, *[nan] * (width - len(found))]])
+    cells = number_cells(df, names).withColumn("sought", without_nan(F.col("value"))).withColumn("ord", F.lit(0))
+    for i in reversed(range(steps)):
+        edge = F.get(table, F.col("position") * width + F.col("ord") + ((1 << i) - 1))
+        cells = cells.withColumn("ord", F.when(edge <= F.col("sought"), F.col("ord") + (1 << i)).otherwise(F.col("ord")))
+    inside = F.col("sought").isNotNull()
+    if any(edges[x][0] > -inf or edges[x][-1] < inf for x in names):
+        low, high = (F.get(constants([edges[x][at] for x in names]), F.col("position")) for at in (0, -1))
+        inside &= F.col("sought").between(low, high)
+    return cells.select("position", F.when(inside, F.col("ord")).otherwise(NO_NUMBER_BIN).alias("ord"), "value")
+
+
+def _require_names(names: Sequence[str] | Mapping) -> None:
     if not names:
         raise ValueError("no features given")
-    return reduce(DataFrame.unionByName, [scan(part) for part in batches(names, COLUMNS_PER_SCAN)])
-
-
-def batches(items: Iterable, size: int) -> list[list]:
-    source = iter(items)
-    return list(iter(lambda: list(islice(source, size)), []))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from math import isfinite, pi, sqrt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import number, share
 from ..sources.tables import literal_table
-from .running import cut_points, with_running_counts
+from .quantiles import cut_points
+from .running import with_running_counts
 
 # Bins of the histogram, points of the smoothed curve.
 HISTOGRAM_BINS = 30
@@ -19,6 +20,7 @@ CURVE_POINTS = 200
 
 # Points of the smoothed curve that one row of the scan is added to; a row is repeated for each such group.
 POINTS_PER_GROUP = 20
+GROUP_BANDWIDTHS = 20
 
 
 def density_histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -58,6 +60,11 @@ def density_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> Dat
     The bandwidth is Scott's: sample standard deviation times n^(-1/5). Two scans: count, range and
     deviation first (four numbers), then the kernels of every value at every point, which are summed per task
     before the shuffle. A column with infinite values has no range and is an error.
+
+    Points stand in groups, and a value starts from a group's nearer end: with d its distance from there and s the step, both in
+    bandwidths, its kernel i points on is exp(-d^2 / 2) exp(d s)^i exp(-s^2 / 2)^(i^2). The last factor is no matter of the value, so two
+    exponentials and a product per point are summed. A group spans twenty bandwidths at most: no factor leaves the
+    range of doubles before the kernel itself does.
     """
     values = _numbers(df, column)
     n, low, high, deviation = values.agg(
@@ -69,21 +76,36 @@ def density_curve(df: DataFrame, column: str, points: int = CURVE_POINTS) -> Dat
         return literal_table(df.sparkSession, [], "point int, x double, density double")
     bandwidth = deviation * n ** -0.2
     step = (high - low) / (points - 1)
-    groups = -(-points // POINTS_PER_GROUP)
-
-    def kernels(i: int) -> Column:
-        x = F.lit(low) + (F.col("group") * POINTS_PER_GROUP + i) * F.lit(step)
-        distance = (x - F.col("value")) / F.lit(bandwidth)
-        return F.sum(F.exp(distance * distance * F.lit(-0.5)))
-
+    size = max(1, min(POINTS_PER_GROUP, int(GROUP_BANDWIDTHS * bandwidth / step)))
+    groups = -(-points // size)
+
+    first = F.lit(low) + F.col("group") * F.lit(size * step)
+    last = first + F.lit((size - 1) * step)
+    up = F.col("value") <= (first + last) / 2
+    # how far the value lies beyond the end it starts from, in the direction of the group's points
+    ahead = F.when(up, F.col("value") - first).otherwise(last - F.col("value")) / F.lit(bandwidth)
     each = values.select("value", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    sums = each.groupBy("group").agg(F.array(*[kernels(i) for i in range(POINTS_PER_GROUP)]).alias("sums"))
+    starts = each.select("group", up.alias("up"), ahead.alias("ahead")).select(
+        "group",
+        "up",
+        F.exp(F.col("ahead") * F.col("ahead") * F.lit(-0.5)).alias("kernel"),
+        F.exp(F.col("ahead") * F.lit(step / bandwidth)).alias("factor"),
+    )
+    products = [F.col("kernel")]
+    for _ in range(size - 1):
+        products.append(products[-1] * F.col("factor"))
+    sums = starts.groupBy("group", "up").agg(F.array(*[F.sum(x) for x in products]).alias("sums"))
     scale = n * bandwidth * sqrt(2 * pi)
-    point = F.col("group") * POINTS_PER_GROUP + F.col("at")
+    point = F.col("group") * size + F.when(F.col("up"), F.col("at")).otherwise(size - 1 - F.col("at"))
+    square = F.pow(F.col("at") * F.lit(step / bandwidth), F.lit(2))
+    # two rows per point
     return (
-        sums.select("group", F.posexplode("sums").alias("at", "kernels"))
-        .select(point.alias("point"), (F.lit(low) + point * step).alias("x"), (F.col("kernels") / scale).alias("density"))
+        sums.select("group", "up", F.posexplode("sums").alias("at", "sum"))
+        .select(point.alias("point"), (F.col("sum") * F.exp(square * F.lit(-0.5))).alias("kernels"))
         .filter(F.col("point") < points)
+        .groupBy("point")
+        .agg(F.sum("kernels").alias("kernels"))
+        .select("point", (F.lit(low) + F.col("point") * step).alias("x"), (F.col("kernels") / scale).alias("density"))
     )
 
 
@@ -91,7 +113,7 @@ def ecdf(df: DataFrame, column: str) -> DataFrame:
     """value, n, cdf: for every distinct value the share of numbers that do not exceed it."""
     values = _numbers(df, column)
     counts = values.groupBy("value").agg(F.count("*").alias("n"))
-    return with_running_counts(counts, "value", ["n"], cut_points(values)).select(
+    return with_running_counts(counts, "value", ["n"], cut_points(values, "value")).select(
         "value", "n", share(F.col("n_upto"), F.col("n_total")).alias("cdf")
     )
 
@@ -115,7 +137,7 @@ def ks_exact(reference: DataFrame, current: DataFrame, column: str) -> DataFrame
         both.groupBy("value")
         .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     )
-    running = with_running_counts(counts, "value", ["n_ref", "n_cur"], cut_points(both.select("value")))
+    running = with_running_counts(counts, "value", ["n_ref", "n_cur"], cut_points(both, "value"))
     gap = F.abs(share(F.col("n_ref_upto"), F.col("n_ref_total")) - share(F.col("n_cur_upto"), F.col("n_cur_total")))
     highest = F.max(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), (-F.col("value")).alias("minus_value"))))
     return running.agg(

@@ -7,27 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .counting import add_bin
-from .quantiles import SLICES, quantile_vectors, slice_edges
-
-
-def cut_points(values: DataFrame) -> list[float]:
-    """Edges of slices of the column `value` that hold about as many rows each; a frequent value may fill more."""
-    found = quantile_vectors(values, ["value"], SLICES, 1 / (4 * SLICES))["value"]
-    return slice_edges(found)
 
 
 def with_running_counts(counts: DataFrame, value: str, measures: Sequence[str], edges: Sequence[float]) -> DataFrame:
     """Add to each value's row the running and the total sum of every measure.
 
     counts has one row per value, so a value that holds a third of all rows is a single row here. A value's slice follows
-    from the edges alone, so it is the same whenever a task is run again. Sums per slice (as many rows as slices) give each
-    slice its starting point, and the running sum itself stays within a slice.
+    from the edges alone (see cut_points: their number follows from the rows), so it is the same whenever a task is run again. Sums per
+    slice give each slice its starting point, and the running sum itself stays within a slice.
 
     New columns: <m>_upto (sum over all values <= this one) and <m>_total.
     """
     sliced = add_bin(counts, value, edges, "slice")
     whole = Window.partitionBy(F.lit(0))
     earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per slice, which is one for a million rows
     starts = (
         sliced.groupBy("slice")
         .agg(*[F.sum(m).alias(m) for m in measures])
@@ -40,10 +34,10 @@ def with_running_counts(counts: DataFrame, value: str, measures: Sequence[str],
     within = (
         Window.partitionBy("slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # starts has one row per slice, a fixed number
-    return sliced.join(F.broadcast(starts), "slice").select(
+    summed = sliced.select("slice", value, *measures, *[F.sum(m).over(within).alias(f"{m}_within") for m in measures])
+    return summed.join(starts, "slice").select(
         value,
         *measures,
-        *[(F.sum(m).over(within) + F.col(f"{m}_before")).alias(f"{m}_upto") for m in measures],
+        *[(F.col(f"{m}_within") + F.col(f"{m}_before")).alias(f"{m}_upto") for m in measures],
         *[f"{m}_total" for m in measures],
     )

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.values import column, share
 from ..sources.tables import literal_table
-from .counting import batches
 from .features import schema_types
 
-COLUMNS_PER_SCAN = 64
+# Counters of one aggregate.
+COLUMNS_PER_AGGREGATE = 64
 
 QUALITY_SCHEMA = (
     "feature string, status string, reference_type string, current_type string, "
@@ -44,20 +42,26 @@ def schema_changes(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """feature, null_rate of each column in one aggregate; null for a table without rows. NaN is not null."""
+    """feature, null_rate of each column in one scan; null for a table without rows. NaN is not null.
 
-    def scan(names: list[str]) -> DataFrame:
+    Up to COLUMNS_PER_AGGREGATE columns have a counter each in one aggregate; rows of more columns are unfolded to
+    (position, has a value), since the code of so many counters is more than the JVM compiles.
+    """
+    names = df.columns if columns is None else columns
+    if not names:
+        return literal_table(df.sparkSession, [], "feature string, null_rate double")
+    if len(names) <= COLUMNS_PER_AGGREGATE:
         rows = df.agg(
             F.count("*").alias("rows"), *[F.count(column(x)).alias(f"n{i}") for i, x in enumerate(names)]
         )
         rate = lambda i: share(F.col("rows") - F.col(f"n{i}"), F.col("rows"))
         cells = [F.struct(F.lit(x).alias("feature"), rate(i).alias("null_rate")) for i, x in enumerate(names)]
         return rows.select(F.inline(F.array(*cells)))
-
-    names = df.columns if columns is None else columns
-    if not names:
-        return literal_table(df.sparkSession, [], "feature string, null_rate double")
-    return reduce(DataFrame.unionByName, [scan(x) for x in batches(names, COLUMNS_PER_SCAN)])
+    cells = df.select(F.posexplode(F.array(*[column(x).isNull().cast("int") for x in names])).alias("position", "absent"))
+    counts = cells.groupBy("position").agg(share(F.sum("absent"), F.count("*")).alias("null_rate"))
+    # one row per column
+    every = literal_table(df.sparkSession, list(enumerate(names)), "position int, feature string")
+    return every.join(F.broadcast(counts), "position", "left").select("feature", "null_rate")
 
 
 def column_quality(reference: DataFrame, current: DataFrame) -> DataFrame:
