@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import keep
+from tidemark.llm.common import keep, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "hi").filter("lo > hi AND lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         roots = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(roots, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = keep(hung.unionByName(roots.select("hi", F.col("m").alias("lo"))).distinct(), "components")
+        last, edges = edges, keep(hung.unionByName(roots.select("hi", F.col("m").alias("lo"))).distinct(), "components")
+        release(last)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first()
         if now == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label"))

@@ -45,6 +45,8 @@ from tidemark.llm.runs import sorted_runs, starts_of
 BATCH_BYTES = 4 << 20
 CHUNK_BYTES = 256 << 10
 BLOCK = 512
+# Partners of a stray that are tried before the rest.
+LIKELIEST = 8
 SHORT = 128
 SLOTS = 1 << 20  # of the table of how often shingles occur
 PACKED_KEYS = 2 << 20  # keys that a task gathers before it packs them
@@ -137,6 +139,12 @@ class Bands:
         """The largest symmetric difference of linked sets whose sizes sum to `total`."""
         return total * (100 - self.percent) // (100 + self.percent)
 
+    def link(self, x: bytes, y: bytes) -> bool:
+        """Whether two sets of shingles, sorted 64-bit integers, are alike enough."""
+        x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
+
     def start(self, band: int) -> int:
         return math.ceil(self.step**band)
 
@@ -368,9 +376,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, b
         for batch in batches:
             good = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), U64) for c in ("x", "y"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= bands.percent * (len(x) + len(y) - both))
+                good.append(bands.link(*(batch.column(c)[i].as_buffer() for c in ("x", "y"))))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     x = found.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -424,9 +430,8 @@ def _sides(rows: DataFrame) -> DataFrame:
     )
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of one key and of different components that short fingerprints allow: every member outside its hub's
-    component against all members of the key."""
+def _open_sides(members: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """The runs (see _sides) in which every member outside its hub's component meets all members of the key."""
     of_node = labels.select("node", F.col("label").alias("own"))
     of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hubs"))
     known = members.join(of_node, "node", "left").join(of_hub, "hub", "left")
@@ -446,18 +451,31 @@ def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame, nodes: D
         again = again.join(of_key.filter("main <> high").drop("high"), "key")
         block = F.pmod(F.xxhash64(F.lit("member"), "node"), "many").alias("block")
         sides = sides.unionByName(_sides(keep(again.select("key", "main", block, "node", "label", "n", "short"), "jaccard")))
-    ordered = sides.repartition("run").sortWithinPartitions("run", "side")
+    return keep(sides, "jaccard")
+
+
+def _open_pairs(sides: DataFrame, labels: DataFrame, bands: Bands, first: int, last: int | None) -> DataFrame:
+    """Pairs (a, b) of a run that short fingerprints allow and that aren't in one component by now: of the members a stray may link
+    with, in the order of the fingerprints' difference, those from `first` on and before `last`.
+
+    Sides keep the components they were dealt by, so the order is the same in every call.
+    """
+    of_node = labels.select("node", F.col("label").alias("now"))
+    sides = sides.join(of_node, "node", "left").withColumn("now", F.coalesce("now", "node"))
+    ordered = sides.repartition("run").sortWithinPartitions("run", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def handle(columns: dict, first: bool, last: bool) -> pa.RecordBatch:
-            side, node, label, n, prints = (columns[x] for x in ("side", "node", "label", "n", "short"))
+        def handle(columns: dict, *_) -> pa.RecordBatch:
+            side, node, label, n, prints, now = (columns[x] for x in ("side", "node", "label", "n", "short", "now"))
             allowed = np.array([bands.difference(i) for i in range(2 * int(n.max()) + 1)])
             starts = starts_of(columns["run"])
             found = []
             for start, end in zip(starts, np.append(starts[1:], len(side))):
                 middle = start + int(np.searchsorted(side[start:end], 1))
-                found += _alike(node, label, n, prints, allowed, np.arange(middle, end), np.arange(start, middle))
-            a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+                found += _alike(label, n, prints, allowed, np.arange(middle, end), np.arange(start, middle), first, last)
+            i, j = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+            apart = now[i] != now[j]
+            a, b = node[i[apart]], node[j[apart]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         yield from sorted_runs(batches, "run", handle)
@@ -465,8 +483,9 @@ def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame, nodes: D
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(node, label, n, prints, allowed, strays: np.ndarray, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of strays and of members with other labels whose sizes and fingerprints allow a link."""
+def _alike(label, n, prints, allowed, strays, members, first: int, last: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of strays and of members with other labels whose sizes and fingerprints allow a link; of each stray's partners, which come
+    by difference and then in order, the first-th to the last-th (of each size of fingerprint)."""
     out = []
     cells = np.array([len(prints[i]) for i in (*strays, *members)])
     of_strays, of_members = cells[: len(strays)], cells[len(strays) :]
@@ -474,10 +493,13 @@ def _alike(node, label, n, prints, allowed, strays: np.ndarray, members: np.ndar
         for q in set(of_members.tolist()):
             i, j = strays[of_strays == p], members[of_members == q]
             x, y = (np.frombuffer(b"".join(prints[s].tolist()), np.uint8).reshape(len(s), -1) for s in (i, j))
-            good = least_difference(x, y) <= allowed[n[i][:, None] + n[j][None, :]]
-            good &= label[i][:, None] != label[j][None, :]
-            at = np.nonzero(good)
-            out.append((node[i[at[0]]], node[j[at[1]]]))
+            apart = least_difference(x, y).astype(np.int64)
+            good = (apart <= allowed[n[i][:, None] + n[j][None, :]]) & (label[i][:, None] != label[j][None, :])
+            if good.sum(axis=1).max(initial=0) <= first:
+                continue
+            order = np.argsort(np.where(good, apart, np.iinfo(np.int64).max), axis=1, kind="stable")[:, first:last]
+            at = np.nonzero(np.take_along_axis(good, order, axis=1))
+            out.append((i[at[0]], j[order[at]]))
     return out
 
 
@@ -497,11 +519,17 @@ def similar_groups(df: DataFrame, width: int = 3, percent: int = 90, id_col: str
     pairs = keep(_by_fingerprint(pairs, nodes, bands), "jaccard")
     links = keep(_verified(pairs, docs, nodes, width, bands), "jaccard")
     labels = components(links)
-    more = keep(_open_pairs(members, labels, docs, nodes, width, bands).join(pairs, ["a", "b"], "left_anti"), "jaccard")
-    more = keep(_by_fingerprint(more, nodes, bands), "jaccard")
-    if not more.isEmpty():
-        more = keep(_verified(more, docs, nodes, width, bands), "jaccard")
-        labels = components(links.unionByName(more))
+    sides = _open_sides(members, labels, docs, nodes, width, bands)
+    release(members)
+    # a stray's likeliest partners first: once they have joined it, the others needn't be looked at, however many they are
+    for first, last in ((0, LIKELIEST), (LIKELIEST, None)):
+        more = _open_pairs(sides, labels, bands, first, last).join(pairs, ["a", "b"], "left_anti")
+        more = keep(_by_fingerprint(keep(more, "jaccard"), nodes, bands), "jaccard")
+        if not more.isEmpty():
+            links = links.unionByName(keep(_verified(more, docs, nodes, width, bands), "jaccard"))
+            labels = components(links)
+    release(sides)
+    release(pairs)
     labelled = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     of_node = labelled.select("node", "label").join(smallest, "label").select("node", "component_id")
@@ -513,11 +541,13 @@ def similar_groups(df: DataFrame, width: int = 3, percent: int = 90, id_col: str
 def keep_one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns: of each group of similar documents the one with the smallest id.
 
-    Rows that repeat an id are one document and stay once. Rows without an id can't be told apart by it and all stay.
+    Rows that repeat an id and its text are one document and stay once; rows that repeat an id with other texts are documents of
+    their own, told apart by the text's hash, which also breaks the tie. Rows without an id can't be told apart by it and all stay.
     """
-    groups = similar_groups(df, width, percent, id_col, text_col)
-    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first")).distinct()
     names = [f"c{i}" for i in range(len(df.columns))]
-    plain, key = df.toDF(*names), names[df.columns.index(id_col)]
-    kept = plain.join(first, F.col(key) == F.col("first"), "left_semi").dropDuplicates([key])
+    plain, key, text = df.toDF(*names), names[df.columns.index(id_col)], names[df.columns.index(text_col)]
+    whole = plain.filter(F.col(key).isNotNull()).withColumn("own", F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h")))
+    groups = similar_groups(whole.select("own", text), width, percent, "own", text)
+    first = groups.filter("own = component_id").select("own").distinct()
+    kept = whole.join(first, "own", "left_semi").dropDuplicates(["own"]).drop("own")
     return kept.unionByName(plain.filter(F.col(key).isNull())).toDF(*df.columns)
