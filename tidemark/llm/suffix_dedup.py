@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_bytes, keep, rows_with_keys, ship
+from tidemark.llm.common import by_bytes, keep, release, rows_with_keys, ship
 from tidemark.llm.jaccard import _SPACE, mix
 from tidemark.llm.runs import in_key_order, sorted_runs, starts_of
 
@@ -296,9 +296,9 @@ def _short_runs(docs: DataFrame, words: int, length: int) -> DataFrame:
     return docs.select("k", "text").mapInArrow(run, "block long, k long, at int")
 
 
-def _repeated(strings: DataFrame) -> DataFrame:
-    """k, low, high and open: starts of the strings that start at more than one place, neighbouring ones apart; and, marked open with
-    their block, the few at the ends of a task's range of which this isn't known yet."""
+def _runs_of_strings(strings: DataFrame) -> DataFrame:
+    """block, k, at, many and cut: the places of strings that start at more than one place of a task's range; and, marked cut, those at
+    the ends of the range, of which this isn't known yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def handle(columns: dict, first: bool, last: bool) -> pa.RecordBatch:
@@ -321,8 +321,11 @@ def _repeated(strings: DataFrame) -> DataFrame:
 
         yield from sorted_runs(batches, "block", handle)
 
-    found = in_key_order(strings, "block", "k", "at").mapInArrow(run, "block long, k long, at int, many boolean, cut boolean")
-    found = keep(found, "suffix")
+    return in_key_order(strings, "block", "k", "at").mapInArrow(run, "block long, k long, at int, many boolean, cut boolean")
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """k, low and high: starts of the strings that start at more than one place, neighbouring ones apart, from _runs_of_strings."""
     again = found.filter("cut").groupBy("block").agg(F.countDistinct("k", "at").alias("places")).filter("places > 1")
     # a run of one at an end whose other piece is in the next task
     late = found.filter("cut AND NOT many").join(again, "block", "left_semi")
@@ -335,19 +338,26 @@ def repeated_spans(docs: DataFrame, length: int, phrase: int = PHRASE, words: in
     texts = keep(_parsed(docs, length, phrase), "suffix")
     # copies of a text in several tasks are one place
     one = _shared(_blocks(texts, 1)).groupBy("k").agg(F.collect_set("at").alias("one"))
-    living = texts.dropDuplicates(["k"]).join(one, "k", "left").filter("one IS NOT NULL OR bare")
-    living = keep(living, "suffix")
+    living = keep(texts.dropDuplicates(["k"]).join(one, "k", "left").filter("one IS NOT NULL OR bare"), "suffix")
+    release(texts)
     more = _shared(_blocks(living, DEPTH)).groupBy("k").agg(F.collect_set("at").alias("more"))
-    verdicts = keep(_verdicts(keep(_last_round(living.join(more, "k", "left"), length), "suffix")), "suffix")
-    doubt = verdicts.filter("NOT sure").groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    doubt = keep(doubt, "suffix")
+    stretches = keep(_last_round(living.join(more, "k", "left"), length), "suffix")
+    release(living)
+    verdicts = keep(_verdicts(stretches), "suffix")
+    release(stretches)
+    doubt = keep(verdicts.filter("NOT sure").groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "suffix")
     asked = rows_with_keys(docs.select("k", "text"), F.col("k"), doubt.select("k")).dropDuplicates(["k"]).join(doubt, "k")
     strings = _strings(asked, length)
     if words:
         strings = strings.unionByName(_short_runs(docs, words, length))
-    strings = _repeated(keep(strings, "suffix"))
-    found = verdicts.filter("sure").select("k", "low", "high").unionByName(strings)
-    return found.groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    strings = keep(strings, "suffix")
+    held = keep(_runs_of_strings(strings), "suffix")
+    release(strings)
+    found = verdicts.filter("sure").select("k", "low", "high").unionByName(_repeated(held))
+    whole = keep(found.groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "suffix")
+    for table in (verdicts, doubt, held):
+        release(table)
+    return whole
 
 
 def removed_spans(spans: list | np.ndarray, n: int, length: int) -> list[tuple[int, int]]:
