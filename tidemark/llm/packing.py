@@ -39,10 +39,10 @@ class WordEncoder:
     """Ids by a tokenizer that drops white space.
 
     No token of such a tokenizer reaches over ASCII white space, so a text's ids are those of its words in
-    turn; the distinct words are encoded in batches and up to `KNOWN_WORDS` of them remembered.
+    turn; the distinct words are encoded in batches and up to `known_words` of them remembered, some 200 bytes each.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,13 +50,14 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.known_words = known_words
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text (in UTF-8), as little-endian unsigned 32-bit integers."""
         cut = [text.split() for text in texts]
         new = set().union(*cut).difference(self.known)
         if new:
-            if len(self.known) + len(new) > KNOWN_WORDS:
+            if len(self.known) + len(new) > self.known_words:
                 self.known = {}
                 new = set().union(*cut)
             for batch in batches_by_bytes((x.decode() for x in new), ENCODED_BYTES):
@@ -65,13 +66,13 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def word_encoder(path: str, known_words: int = KNOWN_WORDS) -> WordEncoder:
+    if (path, known_words) not in _encoders:
+        _encoders[path, known_words] = WordEncoder(path, known_words)
+    return _encoders[path, known_words]
 
 
 def cost(tokens, length: int):
@@ -115,8 +116,9 @@ def pack(lengths: list[int], length: int) -> list[tuple[int, int, int, int, int]
 
 
 def pack_documents(
-    df: DataFrame, tokenizer: str, separator: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    df: DataFrame, tokenizer: str, separator: int, length: int = 4096, id_col: str = "doc_id", text_col: str = "text",
+    known_words: int = KNOWN_WORDS,
+) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset and ids (binary, little-endian
     unsigned 32-bit). `tokenizer` is the path of the tokenizer's file on every machine."""
     if length < 1:
@@ -126,7 +128,7 @@ def pack_documents(
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, known_words)
         base = TaskContext.get().partitionId() << 36
         names: list = []
         ids: list[bytes] = []
