@@ -333,8 +333,29 @@ SKETCH_ERROR = 0.01
 def quantile_sketch_error(spark, sf_dir):
     """For every sketched quantile: is its rank within the allowed error? Counted over the whole table."""
     df = EVERY_LINEITEM.reference_df(spark, sf_dir)
-    found = quantiles.quantile_vectors(df, EVERY_LINEITEM.numeric, sql.BINS, SKETCH_ERROR)
+    return _within_error(df, quantiles.quantile_vectors(df, EVERY_LINEITEM.numeric, sql.BINS, SKETCH_ERROR))
 
+
+@register(
+    "saved_sketch_error",
+    chain(
+        EVERY_LINEITEM,
+        f"SELECT DISTINCT feature, CAST(i AS INTEGER) AS i, true AS within_error FROM ref_numbers, range(0, {sql.BINS + 1}) t(i)",
+    ),
+)
+def saved_sketch_error(spark, sf_dir):
+    """The same for sketches of two halves of the table: one from a saved baseline, merged with one of the other rows."""
+    df = EVERY_LINEITEM.reference_df(spark, sf_dir)
+    settings = Settings(numeric_features=EVERY_LINEITEM.numeric, n_bins=sql.BINS, relative_error=SKETCH_ERROR)
+    path = scratch(spark)
+    Monitor(settings, spark).fit(df.filter("l_orderkey % 2 = 0")).save_baseline(path)
+    saved = Monitor(settings, spark).load_baseline(path).baseline.sketches
+    others = quantiles.quantile_sketches(df.filter("l_orderkey % 2 = 1"), EVERY_LINEITEM.numeric, SKETCH_ERROR)
+    found = quantiles.sketch_quantiles(quantiles.merged_sketches(saved, others), sql.BINS)
+    return _within_error(df, quantiles.vectors(found, EVERY_LINEITEM.numeric))
+
+
+def _within_error(df, found):
     def within(name: str, i: int, value: float):
         n, target = F.count(name), F.count(name) * i / sql.BINS
         low, high = F.count_if(number(name) < value), F.count_if(number(name) <= value)

@@ -18,7 +18,7 @@ from ..operators.features import (
     resolve_features,
     schema_types,
 )
-from ..operators.quantiles import bin_edges, quantile_vectors
+from ..operators.quantiles import bin_edges, quantile_sketches, quantile_vectors, sketch_quantiles, vectors
 from ..operators.schema_diff import compare_schemas, schema_changes, schema_table
 from ..settings import Settings
 from ..sources.shared import Scratch
@@ -31,16 +31,26 @@ COUNTS_SCHEMA = (
 )
 
 
+SKETCH_SCHEMA = "feature string, n bigint, sketch binary"
+
+
 class Baseline:
-    """What is kept of a reference table: its profile (see PROFILE_SCHEMA), its rare categories and its schema.
+    """What is kept of a reference table: its profile (see PROFILE_SCHEMA), its rare categories, its schema, and the sketches its
+    quantiles come from (SKETCH_SCHEMA; none with exact quantiles), which answer other ranks and merge with those of further rows.
 
     Only what later plans are built from reaches the driver: bin edges, feature names, and with
     known_in_scan the known categories.
     """
 
     def __init__(
-        self, profile: DataFrame, schema: Mapping[str, str], rare: DataFrame, known_in_scan: bool = True
+        self,
+        profile: DataFrame,
+        schema: Mapping[str, str],
+        rare: DataFrame,
+        known_in_scan: bool = True,
+        sketches: DataFrame | None = None,
     ) -> None:
+        self.sketches = literal_table(profile.sparkSession, [], SKETCH_SCHEMA) if sketches is None else sketches
         self.profile = profile
         self.schema = dict(schema)
         self.rare = rare
@@ -54,8 +64,9 @@ class Baseline:
         self.known_lists = categories.key_lists(self.known) if known_in_scan else None
 
     def save(self, store: TableStore, path: str, mode: str = "overwrite") -> None:
-        """Three tables below path: the profile, the rare categories, and the schema of the whole reference table."""
+        """Four tables below path: the profile, the rare categories, the sketches, and the schema of the whole reference table."""
         spark = self.profile.sparkSession
+        store.save(self.sketches, f"{path}/sketches", mode)
         store.save(self.rare, f"{path}/rare", mode)
         store.save(self.profile, f"{path}/profile", mode)
         store.save(literal_table(spark, self.schema.items(), "feature string, type string"), f"{path}/schema", mode)
@@ -63,8 +74,8 @@ class Baseline:
     @classmethod
     def load(cls, spark: SparkSession, store: TableStore, path: str, known_in_scan: bool = True) -> Baseline:
         schema = {r["feature"]: r["type"] for r in store.load(spark, f"{path}/schema").collect()}
-        profile, rare = (store.load(spark, f"{path}/{x}") for x in ("profile", "rare"))
-        return cls(profile, schema, rare, known_in_scan)
+        profile, rare, sketches = (store.load(spark, f"{path}/{x}") for x in ("profile", "rare", "sketches"))
+        return cls(profile, schema, rare, known_in_scan, sketches)
 
 
 class Monitor:
@@ -139,12 +150,16 @@ def fit_baseline(reference: DataFrame, settings: Settings, scratch: Scratch | No
     The category counts are written too: the profile and the table of rare categories come from them.
     """
     scratch = scratch or Scratch(reference.sparkSession)
-    _, categorical = resolve_features(reference, settings)
-    require_features(reference, [], categorical)
+    numeric, categorical = resolve_features(reference, settings)
+    require_features(reference, numeric, categorical)
+    sketches = quantiles = None
+    if numeric and not settings.exact_quantiles:
+        sketches = scratch.pin(quantile_sketches(reference, numeric, settings.relative_error))
+        quantiles = vectors(sketch_quantiles(sketches, settings.n_bins), numeric)
     counts = scratch.pin(category_counts(reference, categorical)) if categorical else None
-    profile = scratch.pin(profile_table(reference, settings, counts=counts))
+    profile = scratch.pin(profile_table(reference, settings, counts=counts, quantiles=quantiles))
     rare = rare_table(reference.sparkSession, counts, settings.rare_threshold)
-    return Baseline(profile, schema_types(reference), rare, settings.known_in_scan)
+    return Baseline(profile, schema_types(reference), rare, settings.known_in_scan, sketches)
 
 
 def rare_table(spark: SparkSession, counts: DataFrame | None, threshold: float) -> DataFrame:
@@ -163,11 +178,15 @@ def compare(current: DataFrame, baseline: Baseline, settings: Settings, scratch:
 
 
 def profile_table(
-    df: DataFrame, settings: Settings, baseline: Baseline | None = None, counts: DataFrame | None = None
+    df: DataFrame,
+    settings: Settings,
+    baseline: Baseline | None = None,
+    counts: DataFrame | None = None,
+    quantiles: Mapping[str, list[float]] | None = None,
 ) -> DataFrame:
     """Profile the watched columns of df; with a baseline, on its features, edges and categories.
 
-    counts: the category counts of df, if they are at hand.
+    counts, quantiles: the category counts and the quantiles of df, if they are at hand.
     """
     if baseline:
         numeric, categorical = present(df, baseline.edges), present(df, baseline.categorical)
@@ -176,7 +195,7 @@ def profile_table(
     require_features(df, numeric, categorical)
     parts = []
     if numeric:
-        quantiles = quantile_vectors(
+        quantiles = quantiles or quantile_vectors(
             df, numeric, settings.n_bins, settings.relative_error, settings.exact_quantiles
         )
         edges = baseline.edges if baseline else {
