@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -63,7 +64,8 @@ def main() -> None:
     fitted = Monitor(SETTINGS, spark)
 
     def csv_fit() -> None:
-        Monitor(SETTINGS, spark).fit(read_csv(spark, csv))
+        with Monitor(replace(SETTINGS, copy_watched=True), spark) as monitor:
+            monitor.fit(read_csv(spark, csv))
 
     queries = {
         "fit": lambda: fitted.fit(reference),

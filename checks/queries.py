@@ -30,11 +30,12 @@ from checks.sql import chain, r
 from tidemark import Monitor, Settings, TableStore, fit_baseline, profile_table, validate
 from tidemark.functions import severity as s
 from tidemark.functions.values import key_label, number, share
-from tidemark.operators import categories, counting, curves, divergence, features, quantiles, schema_diff
+from tidemark.operators import cardinality, categories, counting, curves, divergence, features, quantiles, schema_diff
 from tidemark.plans.monitor import Baseline, compare, counts_on_baseline, measured_features
 from tidemark.plans.profiling import numeric_histogram, profile_bins
+from tidemark.sources import footers
 from tidemark.sources.shared import shared_folder
-from tidemark.sources.tables import read_csv
+from tidemark.sources.tables import literal_table, read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -289,6 +290,29 @@ def new_categories_many(spark, sf_dir):
     return categories.new_categories(df.filter("c_acctbal < 0"), df.filter("c_acctbal >= 0"), ["c_name"])
 
 
+@register("new_categories_saved", chain(EVENTS, NEW_CATEGORIES))
+def new_categories_saved(spark, sf_dir):
+    """Against all categories of a baseline that was saved and loaded; the reference table isn't read again."""
+    path = scratch(spark)
+    with Monitor(EVENTS.settings(), spark) as monitor:
+        monitor.fit(EVENTS.reference_df(spark, sf_dir)).save_baseline(path)
+    return Monitor(EVENTS.settings(), spark).load_baseline(path).new_categories(EVENTS.current_df(spark, sf_dir))
+
+
+@register(
+    "footer_statistics",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, count(*) AS n, count({c}) AS n_valued, {r(f'avg(CAST({c} IS NULL AS DOUBLE))')} AS null_rate,
+                   {f'CAST(min({c}) AS VARCHAR)' if ends else 'NULL'} AS lo, {f'CAST(max({c}) AS VARCHAR)' if ends else 'NULL'} AS hi
+            FROM documents"""
+        for c, ends in {"doc_id": True, "text": False, "lang": False, "source": False, "n_chars": True}.items()
+    ),
+)
+def footer_statistics(spark, sf_dir):
+    """Null rates, minima and maxima without reading a row."""
+    return rounded(footers.footer_statistics(spark, f"{sf_dir}/documents.parquet"))
+
+
 @register(
     "validate",
     f"""WITH ref AS (SELECT * FROM customer), cur AS (SELECT * REPLACE (CASE WHEN c_acctbal >= 0 THEN c_mktsegment
@@ -606,6 +630,67 @@ def category_cardinality(spark, sf_dir):
     return categories.category_totals(counts).select("feature", "cardinality")
 
 
+CARDINALITY_ERROR = 0.02
+
+
+@register(
+    "cardinality_estimate",
+    """SELECT * FROM (VALUES ('l_orderkey'), ('l_shipdate'), ('l_returnflag')) t(feature),
+              (SELECT count(*) AS n, true AS within_error FROM lineitem)""",
+)
+def cardinality_estimate(spark, sf_dir):
+    """Sketches of two parts of the table, merged, against the exact count."""
+    df, names = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_shipdate", "l_returnflag"]
+    parts = [cardinality.cardinality_sketches(df.filter(x), names, CARDINALITY_ERROR) for x in ("l_tax < 0.04", "l_tax >= 0.04")]
+    sketches = cardinality.merged_cardinality_sketches(*parts)
+    exact = categories.category_totals(counting.category_counts(df, names)).withColumnRenamed("cardinality", "exact")
+    # one row per feature
+    found = cardinality.estimated_cardinality(sketches).join(sketches, "feature").join(F.broadcast(exact), "feature")
+    off = F.abs(F.col("cardinality") - F.col("exact"))
+    return found.select("feature", "n", (off <= CARDINALITY_ERROR * F.col("exact")).alias("within_error"))
+
+
+@register(
+    "infer_without_identifiers",
+    """SELECT feature_name, feature_type, count, cardinality FROM (
+         SELECT 'c_custkey' AS feature_name, 'numeric' AS feature_type, count(c_custkey) AS count, NULL AS cardinality FROM customer
+         UNION ALL SELECT 'c_nationkey', 'numeric', count(c_nationkey), NULL FROM customer
+         UNION ALL SELECT 'c_acctbal', 'numeric', count(c_acctbal), NULL FROM customer
+         UNION ALL SELECT 'c_mktsegment', 'categorical', count(c_mktsegment), count(DISTINCT c_mktsegment) FROM customer)""",
+)
+def infer_without_identifiers(spark, sf_dir):
+    """c_name differs in every row and is left unwatched without an exact count."""
+    with Monitor(Settings(infer_features=True, max_inferred_cardinality=100), spark) as monitor:
+        profile = monitor.fit(table(spark, sf_dir, "customer")).baseline.profile
+        return literal_table(spark, profile.select("feature_name", "feature_type", "count", "cardinality").collect(), "feature_name string, feature_type string, count bigint, cardinality bigint")
+
+
+@register(
+    "category_topk_large",
+    """SELECT 'l_orderkey' AS feature, CAST(l_orderkey AS VARCHAR) AS key, count(*) AS n, CAST(row_number() OVER
+              (ORDER BY count(*) DESC, CAST(l_orderkey AS VARCHAR)) AS INTEGER) AS position FROM lineitem
+       GROUP BY l_orderkey QUALIFY position <= 1100""",
+)
+def category_topk_large(spark, sf_dir):
+    """More categories than Spark ranks in the tasks, with very many ties."""
+    counts = counting.category_counts(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    return categories.most_frequent(counts, 1100).select("feature", "key", "n", "position")
+
+
+@register("csv_copied_once", chain(PARTS, FEATURE_METRICS))
+def csv_copied_once(spark, sf_dir):
+    """Fit and compare on CSV, each table parsed once into a copy of its watched columns."""
+    paths = [scratch(spark) for _ in range(2)]
+    for path, df in zip(paths, (PARTS.reference_df(spark, sf_dir), PARTS.current_df(spark, sf_dir))):
+        df.write.csv(path, header=True)
+    reference, current = (read_csv(spark, path) for path in paths)
+    # results are written before the copies go
+    out = scratch(spark)
+    with Monitor(PARTS.settings(copy_watched=True), spark) as monitor:
+        monitor.store.save(rounded(monitor.fit(reference).compare(current).feature_metrics), out)
+    return monitor.store.load(spark, out)
+
+
 # ---- distances
 
 

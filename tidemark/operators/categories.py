@@ -7,11 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import ABSENT, REST, key_label, share
+from ..sources.tables import literal_table
 from .counting import category_counts, category_counts_of_two, known_category_counts
 
 # How many tasks share the ranking of one feature's categories before the last step.
 TOP_K_LANES = 64
 
+# Up to this k, Spark lets every task keep its own best k before the shuffle.
+TOP_K_IN_TASK = 1000
+
+# So many equally frequent categories may reach the ranking besides the wanted ones; more are narrowed down by their keys.
+TIES_RANKED = 100_000
+
 
 def category_totals(counts: DataFrame) -> DataFrame:
     """feature, total_count, null_count, cardinality (the missing category counts as one)."""
@@ -27,8 +34,11 @@ def most_frequent(counts: DataFrame, k: int) -> DataFrame:
 
     Each task keeps its own best k before the shuffle. Their number still grows with the tasks, so
     they are narrowed down once more in lanes before one task per feature takes the last step: it
-    gets at most k rows per lane.
+    gets at most k rows per lane. From k = 1001 on Spark keeps nothing back in the tasks: then candidates()
+    selects by thresholds first, with a few jobs over counts, which had better be a written table.
     """
+    if k > TOP_K_IN_TASK:
+        counts = candidates(counts, k)
 
     def best(rows: DataFrame, *group: str) -> DataFrame:
         order = Window.partitionBy(*group).orderBy(F.col("n").desc(), F.col("key").asc_nulls_first())
@@ -38,6 +48,76 @@ def most_frequent(counts: DataFrame, k: int) -> DataFrame:
     return best(best(lanes, "feature", "lane").drop("lane", "position"), "feature")
 
 
+def candidates(counts: DataFrame, k: int, ties: int = TIES_RANKED) -> DataFrame:
+    """The k most frequent categories per feature and, at most, `ties` further ones that are as frequent as the last of them.
+
+    A histogram of the counts (how many categories have n rows; a table of R rows has at most sqrt(2 R) different n) gives
+    the count of the k-th category. Where more are as frequent as that than fit, they are narrowed down by longer and longer
+    beginnings of their keys, each again by a histogram. One row per feature and step reaches the driver.
+    """
+    by_count = counts.groupBy("feature", "n").agg(F.count("*").alias("size"))
+    found = _kth(by_count, F.col("n").desc(), "n", k).collect()
+    # a feature with k categories or fewer has no threshold
+    cuts = {r["feature"]: {"n": r["n"], "need": k - r["before"], "size": r["size"], "start": None, "whole": False} for r in found}
+    thresholds = "feature string, cut bigint, start string, whole boolean"
+
+    def limits(features: Sequence[str]) -> DataFrame:
+        # one row per feature
+        listed = [(x, *(cuts[x][c] for c in ("n", "start", "whole"))) for x in features]
+        return F.broadcast(literal_table(counts.sparkSession, listed, thresholds))
+
+    def open_features() -> list[str]:
+        return [x for x, cut in cuts.items() if cut["size"] > cut["need"] + ties]
+
+    while wide := open_features():
+        # equal counts, and a key that begins like the k-th one, as far as that is known
+        level = (
+            counts.join(limits(wide), "feature")
+            .filter((F.col("n") == F.col("cut")) & F.col("key").isNotNull())
+            .filter(F.col("start").isNull() | F.startswith(F.col("key"), F.col("start")))
+        )
+        ends = level.groupBy("feature").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()
+        # two characters beyond what all of them share
+        lengths = {r["feature"]: _shared(r["first"], r["last"]) + 2 for r in ends}
+        listed = literal_table(counts.sparkSession, lengths.items(), "feature string, length int")
+        parts = (
+            level.join(F.broadcast(listed), "feature")
+            .groupBy("feature", F.expr("substring(key, 1, length)").alias("begin"))
+            .agg(F.count("*").alias("size"))
+        )
+        wanted = literal_table(counts.sparkSession, [(x, cuts[x]["need"]) for x in wide], "feature string, need bigint")
+        for r in _kth(parts.join(F.broadcast(wanted), "feature"), F.col("begin").asc(), "begin", F.col("need")).collect():
+            cut = cuts[r["feature"]]
+            whole = len(r["begin"]) < lengths[r["feature"]]
+            cut.update(start=r["begin"], need=cut["need"] - r["before"], size=r["size"], whole=whole)
+    if not cuts:
+        return counts
+    # a key is within the limit if it is below the k-th one's beginning or begins with it; a missing value comes first
+    begins = F.when(F.col("whole"), F.col("key") == F.col("start")).otherwise(F.startswith(F.col("key"), F.col("start")))
+    by_key = F.col("start").isNull() | F.col("key").isNull() | (F.col("key") < F.col("start")) | begins
+    within = F.col("cut").isNull() | (F.col("n") > F.col("cut")) | ((F.col("n") == F.col("cut")) & by_key)
+    return counts.join(limits(list(cuts)), "feature", "left").filter(within).drop("cut", "start", "whole")
+
+
+def _kth(parts: DataFrame, order: Column, value: str, k: int | Column) -> DataFrame:
+    """feature, value, size, before: the part that holds the k-th row when parts stand in this order, and the rows before it.
+
+    parts has feature, value and size. A feature with fewer than k rows has no row.
+    """
+    so_far = F.sum("size").over(Window.partitionBy("feature").orderBy(order))
+    k = F.lit(k) if isinstance(k, int) else k
+    return (
+        parts.withColumn("so_far", so_far)
+        .filter((F.col("so_far") >= k) & (F.col("so_far") - F.col("size") < k))
+        .select("feature", value, "size", (F.col("so_far") - F.col("size")).alias("before"))
+    )
+
+
+def _shared(first: str, last: str) -> int:
+    """How many characters two texts have in common from the start."""
+    return next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+
+
 def rare_categories(
     counts: DataFrame, totals: DataFrame, threshold: float, listed: int | None = None
 ) -> DataFrame:
@@ -150,6 +230,24 @@ def new_categories(
     return wanted.select("feature", key_label(F.col("kind"), F.col("key")).alias("category"), "n")
 
 
+def known_keys(counts: DataFrame) -> DataFrame:
+    """Category counts as a table to be stored: feature, kind, key, n with an empty key for the missing category, so that
+    plain equality of the first three columns finds a category."""
+    return counts.select("feature", "kind", F.coalesce("key", F.lit("")).alias("key"), "n")
+
+
+def categories_not_in(known: DataFrame, current: DataFrame, features: Sequence[str], listed: int | None = None) -> DataFrame:
+    """feature, category, n: all categories of current that a table of known_keys() lacks.
+
+    Only current is counted. If known is a bucketed table, its side is read as it lies and the counts of current are
+    shuffled to its buckets. `listed` as in new_categories.
+    """
+    counts = known_keys(category_counts(current, features))
+    unseen = counts.join(known.select("feature", "kind", "key"), ["feature", "kind", "key"], "left_anti")
+    wanted = unseen if listed is None else most_frequent(unseen, listed)
+    return wanted.select("feature", key_label(F.col("kind"), F.col("key")).alias("category"), "n")
+
+
 def new_category_share() -> Column:
     """Share of the current keys that the reference list lacks, over the keys of a paired table."""
     return F.coalesce(share(F.count_if(_is_new()), F.count_if(F.col("n_cur") > 0)), F.lit(0.0))

@@ -65,7 +65,7 @@ def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     category one row per task, however many rows it holds.
     """
     _require_names(features)
-    counts = _category_cells(df, features).groupBy("position", "key").agg(F.count("*").alias("n"))
+    counts = category_cells(df, features).groupBy("position", "key").agg(F.count("*").alias("n"))
     return counts.select(name_at(features), _kind_of_key(), "key", "n")
 
 
@@ -73,8 +73,8 @@ def category_counts_of_two(reference: DataFrame, current: DataFrame, features: S
     """Rows per category on both sides: feature, kind, key, n_ref, n_cur. One shuffle, no join."""
     _require_names(features)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    before = _category_cells(reference, features).select("*", one.alias("n_ref"), zero.alias("n_cur"))
-    after = _category_cells(current, features).select("*", zero.alias("n_ref"), one.alias("n_cur"))
+    before = category_cells(reference, features).select("*", one.alias("n_ref"), zero.alias("n_cur"))
+    after = category_cells(current, features).select("*", zero.alias("n_ref"), one.alias("n_cur"))
     counts = (
         before.unionByName(after)
         .groupBy("position", "key")
@@ -98,7 +98,7 @@ def known_category_counts(df: DataFrame, known: Mapping[str, Mapping[str, Sequen
     absent = F.array(*[F.lit(ABSENT in known[x]) for x in names])
     kind = F.when(F.col("listed"), VALUE).when(F.col("key").isNull() & F.get(absent, F.col("position")), ABSENT).otherwise(REST)
     return (
-        _category_cells(df, names)
+        category_cells(df, names)
         .join(listed, ["position", "key"], "left")
         .select("position", kind.alias("kind"), F.when(F.col("listed"), F.col("key")).alias("key"), F.col("key").isNotNull().cast("int").alias("valued"))
         .groupBy("position", "kind", "key")
@@ -117,7 +117,8 @@ def number_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(F.posexplode(F.array(*[number(x) for x in names])).alias("position", "value"))
 
 
-def _category_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def category_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """position, key: one row per row and column, the key as text."""
     return df.select(F.posexplode(F.array(*[category(x) for x in names])).alias("position", "key"))
 
 

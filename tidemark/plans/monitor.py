@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.values import BIN, key_label, share
+from ..functions.values import BIN, column, key_label, share
 from ..operators import categories, divergence
+from ..operators.cardinality import cardinality_sketches, estimated_cardinality
 from ..operators.counting import category_counts, numeric_counts
 from ..operators.features import (
     is_numeric,
@@ -22,7 +24,7 @@ from ..operators.quantiles import bin_edges, quantile_sketches, quantile_vectors
 from ..operators.schema_diff import compare_schemas, schema_changes, schema_table
 from ..settings import Settings
 from ..sources.shared import Scratch
-from ..sources.tables import TableStore, literal_table
+from ..sources.tables import TableStore, literal_table, load_bucketed, save_bucketed
 from .profiling import categorical_profile, known_categories, numeric_profile, profile_bins
 from .report import Report, build_report, feature_metrics
 
@@ -33,10 +35,14 @@ COUNTS_SCHEMA = (
 
 SKETCH_SCHEMA = "feature string, n bigint, sketch binary"
 
+KEY_SCHEMA = "feature string, kind string, key string, n bigint"
+KEY_COLUMNS = ("feature", "kind", "key")
+
 
 class Baseline:
-    """What is kept of a reference table: its profile (see PROFILE_SCHEMA), its rare categories, its schema, and the sketches its
-    quantiles come from (SKETCH_SCHEMA; none with exact quantiles), which answer other ranks and merge with those of further rows.
+    """What is kept of a reference table: its profile (see PROFILE_SCHEMA), its rare categories, its schema, the sketches its
+    quantiles come from (SKETCH_SCHEMA; none with exact quantiles), which answer other ranks and merge with those of further rows,
+    and all its categories (KEY_SCHEMA), against which new ones are found.
 
     Only what later plans are built from reaches the driver: bin edges, feature names, and with
     known_in_scan the known categories.
@@ -49,24 +55,29 @@ class Baseline:
         rare: DataFrame,
         known_in_scan: bool = True,
         sketches: DataFrame | None = None,
+        keys: DataFrame | None = None,
     ) -> None:
+        self.keys = literal_table(profile.sparkSession, [], KEY_SCHEMA) if keys is None else keys
         self.sketches = literal_table(profile.sparkSession, [], SKETCH_SCHEMA) if sketches is None else sketches
         self.profile = profile
         self.schema = dict(schema)
         self.rare = rare
         self.known = known_categories(profile)
 
-        rows = profile.select("feature_name", "feature_type", "bin_edges").collect()
+        rows = profile.select("feature_name", "feature_type", "bin_edges", "cardinality").collect()
         self.edges = {r["feature_name"]: list(r["bin_edges"]) for r in rows if r["feature_type"] == "numeric"}
         listed = [r for r in rows if r["feature_type"] == "categorical"]
         self.categorical = [r["feature_name"] for r in listed]
+        self.n_keys = sum(r["cardinality"] for r in listed)
         # {feature: {kind: keys}}, to be tested in scans; without them the known categories are joined
         self.known_lists = categories.key_lists(self.known) if known_in_scan else None
 
     def save(self, store: TableStore, path: str, mode: str = "overwrite") -> None:
-        """Four tables below path: the profile, the rare categories, the sketches, and the schema of the whole reference table."""
+        """Five tables below path: the profile, the rare categories, the sketches, the schema of the whole reference table, and
+        its categories, always as Parquet in buckets and always anew, since categories are a whole and can't be appended."""
         spark = self.profile.sparkSession
         store.save(self.sketches, f"{path}/sketches", mode)
+        save_bucketed(self.keys, f"{path}/keys", KEY_COLUMNS, self.n_keys)
         store.save(self.rare, f"{path}/rare", mode)
         store.save(self.profile, f"{path}/profile", mode)
         store.save(literal_table(spark, self.schema.items(), "feature string, type string"), f"{path}/schema", mode)
@@ -75,7 +86,7 @@ class Baseline:
     def load(cls, spark: SparkSession, store: TableStore, path: str, known_in_scan: bool = True) -> Baseline:
         schema = {r["feature"]: r["type"] for r in store.load(spark, f"{path}/schema").collect()}
         profile, rare, sketches = (store.load(spark, f"{path}/{x}") for x in ("profile", "rare", "sketches"))
-        return cls(profile, schema, rare, known_in_scan, sketches)
+        return cls(profile, schema, rare, known_in_scan, sketches, load_bucketed(spark, f"{path}/keys"))
 
 
 class Monitor:
@@ -124,6 +135,15 @@ class Monitor:
         sides = [schema_table(self.spark, x) for x in (self._fitted().schema, schema_types(current))]
         return schema_changes(*sides)
 
+    def new_categories(self, current: DataFrame, listed: int | None = None) -> DataFrame:
+        """feature, category, n of all categories the baseline lacks; with `listed` only that many per feature. Reads the current
+        table alone, also where the baseline was loaded."""
+        baseline = self._fitted()
+        watched = present(current, baseline.categorical)
+        if not watched:
+            return literal_table(self.spark, [], "feature string, category string, n bigint")
+        return categories.categories_not_in(baseline.keys, current, watched, listed)
+
     def save_baseline(self, path: str, mode: str = "overwrite") -> None:
         self._fitted().save(self.store, path, mode)
 
@@ -152,6 +172,12 @@ def fit_baseline(reference: DataFrame, settings: Settings, scratch: Scratch | No
     scratch = scratch or Scratch(reference.sparkSession)
     numeric, categorical = resolve_features(reference, settings)
     require_features(reference, numeric, categorical)
+    types = schema_types(reference)
+    if settings.copy_watched:
+        reference = scratch.pin(watched_columns(reference, numeric + categorical))
+    if unwatched := identifiers(reference, categorical, settings):
+        categorical = [x for x in categorical if x not in unwatched]
+        settings = replace(settings, numeric_features=numeric, categorical_features=categorical, infer_features=False)
     sketches = quantiles = None
     if numeric and not settings.exact_quantiles:
         sketches = scratch.pin(quantile_sketches(reference, numeric, settings.relative_error))
@@ -159,7 +185,22 @@ def fit_baseline(reference: DataFrame, settings: Settings, scratch: Scratch | No
     counts = scratch.pin(category_counts(reference, categorical)) if categorical else None
     profile = scratch.pin(profile_table(reference, settings, counts=counts, quantiles=quantiles))
     rare = rare_table(reference.sparkSession, counts, settings.rare_threshold)
-    return Baseline(profile, schema_types(reference), rare, settings.known_in_scan, sketches)
+    keys = categories.known_keys(counts) if categorical else None
+    return Baseline(profile, types, rare, settings.known_in_scan, sketches, keys)
+
+
+def watched_columns(df: DataFrame, features: Iterable[str]) -> DataFrame:
+    return df.select(*[column(x) for x in dict.fromkeys(features)])
+
+
+def identifiers(df: DataFrame, categorical: list[str], settings: Settings) -> list[str]:
+    """Inferred categorical columns that have more than max_inferred_cardinality values by estimate; one scan, no exact count."""
+    if not categorical or settings.max_inferred_cardinality is None or settings.categorical_features:
+        return []
+    sketches = cardinality_sketches(df, categorical, settings.cardinality_error)
+    found = estimated_cardinality(sketches).filter(F.col("cardinality") > settings.max_inferred_cardinality)
+    # feature names
+    return [r["feature"] for r in found.collect()]
 
 
 def rare_table(spark: SparkSession, counts: DataFrame | None, threshold: float) -> DataFrame:
@@ -173,7 +214,12 @@ def rare_table(spark: SparkSession, counts: DataFrame | None, threshold: float)
 def compare(current: DataFrame, baseline: Baseline, settings: Settings, scratch: Scratch | None = None) -> Report:
     """Measure current against the baseline. The feature table is written once; all views read it."""
     scratch = scratch or Scratch(current.sparkSession)
-    measured = measured_features(current, baseline, settings)
+    types = schema_types(current)
+    if settings.copy_watched:
+        watched = present(current, [*baseline.edges, *baseline.categorical])
+        # a table without any watched column is not worth a copy
+        current = scratch.pin(watched_columns(current, watched)) if watched else current
+    measured = measured_features(current, baseline, settings, types)
     return build_report(scratch.pin(feature_metrics(measured, settings)), settings)
 
 
@@ -252,9 +298,12 @@ def counts_on_baseline(df: DataFrame, baseline: Baseline, leave_out: Iterable[st
     return reduce(DataFrame.unionByName, parts)
 
 
-def measured_features(current: DataFrame, baseline: Baseline, settings: Settings) -> DataFrame:
-    """Distances, new-category shares and null rates per feature of the baseline."""
-    changes = compare_schemas(baseline.schema, schema_types(current))
+def measured_features(
+    current: DataFrame, baseline: Baseline, settings: Settings, types: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Distances, new-category shares and null rates per feature of the baseline; types: those of the whole current table,
+    where current has only some of its columns."""
+    changes = compare_schemas(baseline.schema, types or schema_types(current))
     strict = settings.schema_policy == "critical"
     if not strict:
         require_numeric(current, present(current, baseline.edges))

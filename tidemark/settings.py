@@ -35,6 +35,11 @@ class Settings:
                        False for lists too long to be part of a plan: they are joined after counting
     new_category_weight  'keys' takes the share of new categories among the current table's, 'rows' the
                        share of its rows that hold one
+    copy_watched       write the watched columns of a table to the shared folder first and read the copy, so that CSV
+                       and other row formats are parsed once; the Monitor's close() deletes it
+    max_inferred_cardinality  leave inferred categorical features with more values than this unwatched (identifiers,
+                       free text), by an estimate within cardinality_error; features named in the settings stay
+    cardinality_error  relative error of that estimate at three standard deviations
     """
 
     numeric_features: Sequence[str] | None = None
@@ -56,6 +61,9 @@ class Settings:
     exact_quantiles: bool = False
     known_in_scan: bool = True
     new_category_weight: str = "keys"
+    copy_watched: bool = False
+    max_inferred_cardinality: int | None = None
+    cardinality_error: float = 0.05
 
     def __post_init__(self) -> None:
         put = lambda name, value: object.__setattr__(self, name, value)
@@ -77,6 +85,9 @@ class Settings:
         _require(
             self.new_category_weight in NEW_CATEGORY_WEIGHTS, f"new_category_weight must be one of {NEW_CATEGORY_WEIGHTS}"
         )
+        _require(0.0022 <= self.cardinality_error < 1, "cardinality_error must lie in [0.0022, 1)")
+        limit = self.max_inferred_cardinality
+        _require(limit is None or limit >= 1, "max_inferred_cardinality must be at least 1")
         both = set(self.numeric_features) & set(self.categorical_features)
         _require(not both, f"features listed as numeric and as categorical: {sorted(both)}")
         if not self.exact_quantiles and self.relative_error >= 1 / self.n_bins:
