@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -109,6 +110,15 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
             yield batch.slice(start)
 
 
+def give_back_memory() -> None:
+    """Return what earlier tasks of this Python worker have freed to the system; allocators hold on to it otherwise, and the
+    workers of one machine share its memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    # a function of the GNU C library, not of others
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 FILTER_BITS = 1 << 26
 
 

@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import by_bytes, ship
+from tidemark.llm.common import by_bytes, give_back_memory, ship
 from tidemark.llm.token_counts import batches_by_bytes
 
 BATCH_BYTES = 2 << 20
 GROUP_TOKENS = 1 << 20
-ENCODED_BYTES = 1 << 20
+# The encodings of a batch take some hundred times its bytes.
+ENCODED_BYTES = 128 << 10
 KNOWN_WORDS = 800_000
 
 
@@ -128,6 +129,7 @@ def pack_documents(
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         encoder = word_encoder(tokenizer, known_words)
         base = TaskContext.get().partitionId() << 36
         names: list = []
