@@ -9,26 +9,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], key: str, handle: Callable) -> Iterator[pa.RecordBatch]:
-    """Call handle(columns, first, last) for stretches of a task's sorted rows that hold whole runs of `key`.
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
+    """columns, first and last of stretches of a task's sorted rows that hold whole runs of `key`.
 
-    `first` and `last` tell that the stretch begins or ends the task, where a run may have been cut.
+    `first` and `last` tell that the stretch begins or ends the task, where a run may have been cut. What a long run has brought so
+    far is a list of pieces, put together once.
     """
-    held, first = None, True
+    held: list[dict[str, np.ndarray]] = []
+    first = True
+    together = lambda parts: {name: np.concatenate([x[name] for x in parts]) for name in parts[0]}
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
-        if held is not None:
-            columns = {name: np.concatenate((held[name], x)) for name, x in columns.items()}
         values = columns[key]
         start = int(np.searchsorted(values, values[-1]))
-        if start:
-            yield handle({name: x[:start] for name, x in columns.items()}, first, False)
-            first = False
-        held = {name: x[start:] for name, x in columns.items()}
-    if held is not None:
-        yield handle(held, first, True)
+        if start or (held and held[-1][key][-1] != values[-1]):
+            ended = [*held, {name: x[:start] for name, x in columns.items()}]
+            yield together(ended), first, False
+            first, held = False, []
+        held.append({name: x[start:] for name, x in columns.items()})
+    if held:
+        yield together(held), first, True
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], key: str, handle: Callable) -> Iterator[pa.RecordBatch]:
+    """handle(columns, first, last) of all whole_runs."""
+    for columns, first, last in whole_runs(batches, key):
+        yield handle(columns, first, last)
 
 
 def starts_of(values: np.ndarray) -> np.ndarray:

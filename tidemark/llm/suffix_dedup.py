@@ -9,10 +9,14 @@ A byte is removed where a string of `length` bytes that also starts anywhere els
   share it with another one take part in the next round. No order of suffixes and no transform is built.
 * Repeated intervals. The last round goes down to all phrases that lie within a string of `length` bytes. Strings whose block is
   single occur once. Where all of a block's suffixes have equal bytes up to the ends of the strings, all these are repeated.
-  Else phrases before or after differ, and the strings at these ends, and only those, are compared one by one by their hashes.
+  Else phrases before or after differ, and the strings at these ends, and only those, are compared.
+* Ends. The strings of a stretch of starts have the same phrases inside, so they differ in the bytes before the first and after the
+  last cut. A stretch goes to its block as one row with these bytes, about `2 * PHRASE` of them, and is unfolded into strings there,
+  in the task. Strings without a phrase inside, and those of blocks that are cut between tasks or have more than `BLOCK_ROWS`
+  stretches, are compared as rows of their hashes.
 
 With `words`, a run of so many words (of `[^ \\t-\\r]`) that also starts anywhere else is removed as well, however few bytes it has. Runs
-of `length` bytes are such strings anyway; those of fewer, few in most texts, are compared one by one with the strings in doubt.
+of `length` bytes are such strings anyway; those of fewer, few in most texts, are compared one by one.
 
 A text that occurs more than once is repeated as a whole; it takes part once. Blocks and strings are compared across tasks by
 range partitions of (hash, place), which cut what very many places share into pieces; only the runs at the pieces' ends are looked
@@ -33,12 +37,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import by_bytes, keep, release, rows_with_keys, ship
 from tidemark.llm.jaccard import _SPACE, mix
-from tidemark.llm.runs import in_key_order, sorted_runs, starts_of
+from tidemark.llm.runs import in_key_order, sorted_runs, starts_of, whole_runs
 
 BATCH_BYTES = 4 << 20
 TRIGGER = 8
 PHRASE = 48
 DEPTH = 4
+BLOCK_ROWS = 1 << 12
 U64 = np.uint64
 _BYTE = mix(np.arange(256, dtype=U64), 41)
 _FACTOR = U64(0xD1342543DE82EF95)
@@ -250,23 +255,104 @@ def _verdicts(stretches: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "k long, low int, high int, sure boolean").unionByName(free)
 
 
-def _strings(texts: DataFrame, length: int) -> DataFrame:
-    """block (the string's hash), k and at (its start) of the strings at the stretches of each text."""
+def _ends(texts: DataFrame, length: int, phrase: int) -> DataFrame:
+    """block, k, low, high, gap and ends of the stretches of each text: the hash of the bytes from the first to the last cut inside
+    the strings, the bytes from the first start to the first cut, and all bytes outside the cuts.
+
+    Strings without a phrase inside are rows of their own (low = high), with the whole string's hash and no ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "k", "low", "high", "gap", "ends"]
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[i].as_py().encode(), np.uint8)
-                spans = batch.column("spans")[i].values
+            for row in range(batch.num_rows):
+                k, text = batch.column("k")[row].as_py(), batch.column("text")[row].as_py().encode()
+                data = np.frombuffer(text, np.uint8)
+                spans = batch.column("spans")[row].values
                 low, high = (spans.field(x).to_numpy().astype(np.int64) for x in ("low", "high"))
-                at = np.repeat(low, high - low + 1)
-                at += np.arange(len(at)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
-                block = Hashes(_BYTE[data]).of(at, at + length).view(np.int64)
-                columns = (block, np.full(len(at), batch.column("k")[i].as_py(), np.int64), at.astype(np.int32))
+                cuts, hashes = cuts_of(data, phrase), Hashes(_BYTE[data])
+                i, j = np.searchsorted(cuts, low + TRIGGER), np.searchsorted(cuts, low + length, side="right") - 1
+                inside = j > i
+                starts, stops = low[inside], high[inside]
+                a, b = cuts[i[inside]], cuts[j[inside]]
+                block = hashes.of(a, b).view(np.int64)
+                gap = (a - starts).astype(np.int32)
+                for at in range(0, len(starts), 1 << 13):
+                    part = slice(at, at + (1 << 13))
+                    ends = [text[s:x] + text[y : e + length] for s, x, y, e in zip(*(v[part].tolist() for v in (starts, a, b, stops)))]
+                    columns = (block[part], np.full(len(ends), k), starts[part].astype(np.int32), stops[part].astype(np.int32), gap[part])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array(ends, pa.binary())], names=names)
+                low, n = low[~inside], (high - low + 1)[~inside]
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                block = hashes.of(at, at + length).view(np.int64)
                 for start in range(0, len(at), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[start : start + (1 << 18)]) for x in columns], names=["block", "k", "at"])
+                    some = at[start : start + (1 << 18)].astype(np.int32)
+                    columns = (block[start : start + len(some)], np.full(len(some), k), some, some, np.zeros(len(some), np.int32))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.nulls(len(some), pa.binary())], names=names)
+
+    return texts.mapInArrow(run, "block long, k long, low int, high int, gap int, ends binary")
+
+
+def _unfolded(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of some stretches: the stretch's number, the start's distance from the stretch's first, and a hash by which equal
+    strings, and only these, are known in every task."""
+    block, low, high, gap, ends = (columns[x] for x in ("block", "low", "high", "gap", "ends"))
+    sizes = np.fromiter(map(len, ends), np.int64, len(ends))
+    n = high.astype(np.int64) - low + 1
+    row = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(sizes) - sizes)[row] + offset
+    hashes = Hashes(_BYTE[np.frombuffer(b"".join(ends), np.uint8)]).of(start, start + (sizes - n + 1)[row])
+    with np.errstate(over="ignore"):
+        inside = mix(block.view(U64)[row] + (gap[row] - offset).astype(U64) * _FACTOR, 45)
+        return row, offset, mix(hashes + inside, 46)
+
 
-    return texts.mapInArrow(run, "block long, k long, at int")
+def _settled(stretches: DataFrame) -> DataFrame:
+    """block, k, low, high and open, from _ends: starts of repeated strings; and, marked open, the hash (block) and start of each string of
+    a block that this task hasn't, or mayn't have, as a whole, or that is too long for one go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(block: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray, is_open: bool) -> pa.RecordBatch:
+            columns = (block.view(np.int64), k, low.astype(np.int32), high.astype(np.int32), np.full(len(k), is_open))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "k", "low", "high", "open"])
+
+        def groups(rows: np.ndarray, block: np.ndarray, whole: bool) -> Iterator[np.ndarray]:
+            """About BLOCK_ROWS rows at a time, of whole blocks if asked for."""
+            starts = starts_of(block[rows]) if whole and len(rows) else np.arange(len(rows))
+            edges = np.unique(starts[np.minimum(np.searchsorted(starts, np.arange(0, len(rows), BLOCK_ROWS)), len(starts) - 1)])
+            for low, high in zip(edges, np.append(edges[1:], len(rows))):
+                yield rows[low:high]
+
+        for columns, first, last in whole_runs(batches, "block"):
+            block, k, low = columns["block"], columns["k"], columns["low"]
+            fresh = np.concatenate(([True], (block[1:] != block[:-1]) | (k[1:] != k[:-1]) | (low[1:] != low[:-1])))
+            columns = {name: x[fresh] for name, x in columns.items()}
+            block = columns["block"]
+            sizes = np.diff(np.append(starts_of(block), len(block)))
+            late = sizes > BLOCK_ROWS
+            late[0] |= first
+            late[-1] |= last
+            for rows in groups(np.flatnonzero(np.repeat(late, sizes)), block, False):
+                some = {name: x[rows] for name, x in columns.items()}
+                row, offset, name = _unfolded(some)
+                at = some["low"][row] + offset
+                yield told(name, some["k"][row], at, at, True)
+            for rows in groups(np.flatnonzero(np.repeat(~late & (sizes > 1), sizes)), block, True):
+                some = {name: x[rows] for name, x in columns.items()}
+                row, offset, name = _unfolded(some)
+                order = np.argsort(name, kind="stable")
+                alike = name[order][1:] == name[order][:-1]
+                again = np.zeros(len(name) + 1, np.bool_)
+                again[order[1:][alike]] = again[order[:-1][alike]] = True
+                again, before = again[:-1], np.concatenate(([False], again[:-2]))
+                new = offset == 0
+                starts = np.flatnonzero(again & (new | ~before))
+                ends = np.flatnonzero(again & np.append(new[1:] | ~again[1:], True))
+                at = some["low"][row] + offset
+                yield told(np.zeros(len(starts), np.int64), some["k"][row][starts], at[starts], at[ends], False)
+
+    return in_key_order(stretches, "block", "k", "low").mapInArrow(run, "block long, k long, low int, high int, open boolean")
 
 
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,15 +433,20 @@ def repeated_spans(docs: DataFrame, length: int, phrase: int = PHRASE, words: in
     release(stretches)
     doubt = keep(verdicts.filter("NOT sure").groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "suffix")
     asked = rows_with_keys(docs.select("k", "text"), F.col("k"), doubt.select("k")).dropDuplicates(["k"]).join(doubt, "k")
-    strings = _strings(asked, length)
+    ends = keep(_ends(asked, length, phrase), "suffix")
+    release(doubt)
+    settled = keep(_settled(ends.filter("ends IS NOT NULL")), "suffix")
+    strings = ends.filter("ends IS NULL").unionByName(settled.filter("open"), allowMissingColumns=True).select("block", "k", F.col("low").alias("at"))
     if words:
         strings = strings.unionByName(_short_runs(docs, words, length))
     strings = keep(strings, "suffix")
+    release(ends)
     held = keep(_runs_of_strings(strings), "suffix")
     release(strings)
-    found = verdicts.filter("sure").select("k", "low", "high").unionByName(_repeated(held))
+    found = verdicts.filter("sure").unionByName(settled.filter("NOT open"), allowMissingColumns=True).select("k", "low", "high")
+    found = found.unionByName(_repeated(held))
     whole = keep(found.groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "suffix")
-    for table in (verdicts, doubt, held):
+    for table in (verdicts, settled, held):
         release(table)
     return whole
 
