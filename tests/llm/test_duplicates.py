@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import components, jaccard, suffix_dedup
+from tidemark.llm import components, jaccard, runs, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,6 +161,21 @@ def test_repeated_strings(spark, alphabet, tail, length, phrase):
     assert Counter(map(tuple, found.collect())) == without(rows, length)
 
 
+def test_repeated_strings_of_blocks_too_long_for_one_go(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_ROWS", 2)
+    rows = patched(5, "abcdefghé ", 120, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = suffix_dedup.mark_repeats(df, 40, phrase=6).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(map(tuple, found.collect())) == without(rows, 40)
+
+
+def test_long_runs_are_put_together_once():
+    blocks = [[1, 1, 2], [2, 2], [2], [], [2, 3], [4], [4, 4]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64())], names=["key"]) for x in blocks]
+    found = [(x["key"].tolist(), first, last) for x, first, last in runs.whole_runs(iter(batches), "key")]
+    assert found == [([1, 1], True, False), ([2, 2, 2, 2, 2], False, False), ([3], False, False), ([4, 4, 4], False, True)]
+
+
 def test_repeats_of_a_table(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [tuple(r) for r in df.select("doc_id", "text").collect()]

@@ -309,8 +309,8 @@ def _unfolded(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _settled(stretches: DataFrame) -> DataFrame:
-    """block, k, low, high and open, from _ends: starts of repeated strings; and, marked open, the hash (block) and start of each string of
-    a block that this task hasn't, or mayn't have, as a whole, or that is too long for one go."""
+    """block, k, low, high and open, from _ends: starts of repeated strings; and, marked open, the hash (block) and a start of each distinct
+    string of blocks that this task mayn't have as a whole, or that are too long for one go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(block: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray, is_open: bool) -> pa.RecordBatch:
@@ -333,24 +333,23 @@ def _settled(stretches: DataFrame) -> DataFrame:
             late = sizes > BLOCK_ROWS
             late[0] |= first
             late[-1] |= last
-            for rows in groups(np.flatnonzero(np.repeat(late, sizes)), block, False):
-                some = {name: x[rows] for name, x in columns.items()}
-                row, offset, name = _unfolded(some)
-                at = some["low"][row] + offset
-                yield told(name, some["k"][row], at, at, True)
-            for rows in groups(np.flatnonzero(np.repeat(~late & (sizes > 1), sizes)), block, True):
-                some = {name: x[rows] for name, x in columns.items()}
-                row, offset, name = _unfolded(some)
-                order = np.argsort(name, kind="stable")
-                alike = name[order][1:] == name[order][:-1]
-                again = np.zeros(len(name) + 1, np.bool_)
-                again[order[1:][alike]] = again[order[:-1][alike]] = True
-                again, before = again[:-1], np.concatenate(([False], again[:-2]))
-                new = offset == 0
-                starts = np.flatnonzero(again & (new | ~before))
-                ends = np.flatnonzero(again & np.append(new[1:] | ~again[1:], True))
-                at = some["low"][row] + offset
-                yield told(np.zeros(len(starts), np.int64), some["k"][row][starts], at[starts], at[ends], False)
+            for is_late, chosen in ((True, late), (False, ~late & (sizes > 1))):
+                for rows in groups(np.flatnonzero(np.repeat(chosen, sizes)), block, not is_late):
+                    some = {name: x[rows] for name, x in columns.items()}
+                    row, offset, name = _unfolded(some)
+                    k, at = some["k"][row], some["low"][row] + offset
+                    order = np.argsort(name, kind="stable")
+                    alike = name[order][1:] == name[order][:-1]
+                    again = np.zeros(len(name), np.bool_)
+                    again[order[1:][alike]] = again[order[:-1][alike]] = True
+                    new = offset == 0
+                    starts = np.flatnonzero(again & (new | ~np.append(False, again[:-1])))
+                    ends = np.flatnonzero(again & np.append(new[1:] | ~again[1:], True))
+                    yield told(np.zeros(len(starts), np.int64), k[starts], at[starts], at[ends], False)
+                    if is_late:
+                        # one of equal strings is enough to tell the other tasks
+                        one = order[np.append(True, ~alike)]
+                        yield told(name[one], k[one], at[one], at[one], True)
 
     return in_key_order(stretches, "block", "k", "low").mapInArrow(run, "block long, k long, low int, high int, open boolean")
 
