@@ -11,9 +11,9 @@ A byte is removed where a string of `length` bytes that also starts anywhere els
   single occur once. Where all of a block's suffixes have equal bytes up to the ends of the strings, all these are repeated.
   Else phrases before or after differ, and the strings at these ends, and only those, are compared.
 * Ends. The strings of a stretch of starts have the same phrases inside, so they differ in the bytes before the first and after the
-  last cut. A stretch goes to its block as one row with these bytes, about `2 * PHRASE` of them, and is unfolded into strings there,
-  in the task. Strings without a phrase inside, and those of blocks that are cut between tasks or have more than `BLOCK_ROWS`
-  stretches, are compared as rows of their hashes.
+  last cut. A stretch goes to its block as one row with these bytes, about two phrases, and is unfolded into strings there, in the
+  task. Where strings have no phrase inside, phrases a third as long take their place. Strings without one of these, and one of all
+  equal ones in a task of blocks that are cut between tasks or have more than `BLOCK_ROWS` stretches, are compared as rows of hashes.
 
 With `words`, a run of so many words (of `[^ \\t-\\r]`) that also starts anywhere else is removed as well, however few bytes it has. Runs
 of `length` bytes are such strings anyway; those of fewer, few in most texts, are compared one by one.
@@ -43,6 +43,7 @@ BATCH_BYTES = 4 << 20
 TRIGGER = 8
 PHRASE = 48
 DEPTH = 4
+FINER = 3
 BLOCK_ROWS = 1 << 12
 U64 = np.uint64
 _BYTE = mix(np.arange(256, dtype=U64), 41)
@@ -255,11 +256,22 @@ def _verdicts(stretches: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "k long, low int, high int, sure boolean").unionByName(free)
 
 
+def _split(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted stretches that don't overlap, cut before each place in `at`."""
+    if not len(low):
+        return low, high
+    of = np.searchsorted(low, at, side="right") - 1
+    starts = np.unique(np.concatenate((low, at[(of >= 0) & (at <= high[of])])))
+    last = high[np.searchsorted(low, starts, side="right") - 1]
+    return starts, np.minimum(np.append(starts[1:] - 1, last[-1]), last)
+
+
 def _ends(texts: DataFrame, length: int, phrase: int) -> DataFrame:
     """block, k, low, high, gap and ends of the stretches of each text: the hash of the bytes from the first to the last cut inside
     the strings, the bytes from the first start to the first cut, and all bytes outside the cuts.
 
-    Strings without a phrase inside are rows of their own (low = high), with the whole string's hash and no ends.
+    Stretches without a phrase inside are cut anew into finer phrases. Strings without one of these are rows of their own (low = high),
+    with the whole string's hash and no ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +282,25 @@ def _ends(texts: DataFrame, length: int, phrase: int) -> DataFrame:
                 data = np.frombuffer(text, np.uint8)
                 spans = batch.column("spans")[row].values
                 low, high = (spans.field(x).to_numpy().astype(np.int64) for x in ("low", "high"))
-                cuts, hashes = cuts_of(data, phrase), Hashes(_BYTE[data])
-                i, j = np.searchsorted(cuts, low + TRIGGER), np.searchsorted(cuts, low + length, side="right") - 1
-                inside = j > i
-                starts, stops = low[inside], high[inside]
-                a, b = cuts[i[inside]], cuts[j[inside]]
-                block = hashes.of(a, b).view(np.int64)
-                gap = (a - starts).astype(np.int32)
-                for at in range(0, len(starts), 1 << 13):
-                    part = slice(at, at + (1 << 13))
-                    ends = [text[s:x] + text[y : e + length] for s, x, y, e in zip(*(v[part].tolist() for v in (starts, a, b, stops)))]
-                    columns = (block[part], np.full(len(ends), k), starts[part].astype(np.int32), stops[part].astype(np.int32), gap[part])
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array(ends, pa.binary())], names=names)
-                low, n = low[~inside], (high - low + 1)[~inside]
+                order = np.argsort(low)
+                low, high, hashes = low[order], high[order], Hashes(_BYTE[data])
+                for finer in (1, FINER):
+                    cuts = cuts_of(data, max(phrase // finer, 1))
+                    if finer > 1:
+                        low, high = _split(low, high, pieces(len(text), cuts, length)[0])
+                    i, j = np.searchsorted(cuts, low + TRIGGER), np.searchsorted(cuts, low + length, side="right") - 1
+                    inside = j > i
+                    starts, stops = low[inside], high[inside]
+                    a, b = cuts[i[inside]], cuts[j[inside]]
+                    block = hashes.of(a, b).view(np.int64)
+                    gap = (a - starts).astype(np.int32)
+                    for at in range(0, len(starts), 1 << 13):
+                        part = slice(at, at + (1 << 13))
+                        ends = [text[s:x] + text[y : e + length] for s, x, y, e in zip(*(v[part].tolist() for v in (starts, a, b, stops)))]
+                        columns = (block[part], np.full(len(ends), k), starts[part].astype(np.int32), stops[part].astype(np.int32), gap[part])
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array(ends, pa.binary())], names=names)
+                    low, high = low[~inside], high[~inside]
+                n = high - low + 1
                 at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
                 block = hashes.of(at, at + length).view(np.int64)
                 for start in range(0, len(at), 1 << 18):
