@@ -163,6 +163,7 @@ def test_repeated_strings(spark, alphabet, tail, length, phrase):
 
 def test_repeated_strings_of_blocks_too_long_for_one_go(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(suffix_dedup, "GO_ROWS", 2)
     rows = patched(5, "abcdefghé ", 120, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = suffix_dedup.mark_repeats(df, 40, phrase=6).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

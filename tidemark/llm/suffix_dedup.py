@@ -45,22 +45,25 @@ PHRASE = 48
 DEPTH = 4
 FINER = 3
 BLOCK_ROWS = 1 << 12
+GO_ROWS = 1 << 10
 U64 = np.uint64
 _BYTE = mix(np.arange(256, dtype=U64), 41)
 _FACTOR = U64(0xD1342543DE82EF95)
 _INVERSE = U64(pow(int(_FACTOR), -1, 1 << 64))
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KNOWN_POWERS = 1 << 18
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the factor and of its inverse, n at least."""
-    size = 1 << max(12, n.bit_length())
-    if size not in _tables:
-        with np.errstate(over="ignore"):
-            _tables[size] = tuple(
-                np.concatenate((np.ones(1, U64), np.multiply.accumulate(np.full(size - 1, x)))) for x in (_FACTOR, _INVERSE)
-            )
-    return _tables[size]
+    """Powers of the factor and of its inverse, n at least; only those for up to KNOWN_POWERS bytes, 4 MB, are remembered."""
+    if _tables and n <= KNOWN_POWERS:
+        return _tables[0]
+    size = max(n, KNOWN_POWERS)
+    with np.errstate(over="ignore"):
+        found = tuple(np.concatenate((np.ones(1, U64), np.multiply.accumulate(np.full(size - 1, x)))) for x in (_FACTOR, _INVERSE))
+    if size == KNOWN_POWERS:
+        _tables.append(found)
+    return found
 
 
 class Hashes:
@@ -336,9 +339,9 @@ def _settled(stretches: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "k", "low", "high", "open"])
 
         def groups(rows: np.ndarray, block: np.ndarray, whole: bool) -> Iterator[np.ndarray]:
-            """About BLOCK_ROWS rows at a time, of whole blocks if asked for."""
+            """About GO_ROWS rows at a time, of whole blocks if asked for."""
             starts = starts_of(block[rows]) if whole and len(rows) else np.arange(len(rows))
-            edges = np.unique(starts[np.minimum(np.searchsorted(starts, np.arange(0, len(rows), BLOCK_ROWS)), len(starts) - 1)])
+            edges = np.unique(starts[np.minimum(np.searchsorted(starts, np.arange(0, len(rows), GO_ROWS)), len(starts) - 1)])
             for low, high in zip(edges, np.append(edges[1:], len(rows))):
                 yield rows[low:high]
 
