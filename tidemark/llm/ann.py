@@ -10,8 +10,8 @@ as a result can show. Nodes are dealt to shards of about `shard_rows` by a hash
   a node that very many others list hands out k of them, chosen by hash.
 * Searching. Blocks of queries meet shards by a key. All queries of a block walk the shard's graph together in numpy: each scores the
   entries, one in `ENTRY_EVERY` nodes and one more wherever nodes can't be reached from those, and opens its best nodes not yet opened,
-  until none of its best `beam` is left. The best of all shards are ranked by exact products of the original
-  vectors in double precision.
+  until none of its best `beam` is left. All of these are ranked by exact products of the original vectors in double
+  precision, and the best of all shards by these.
 
 Every row is indexed. The search is approximate: neighbours that no path of good nodes leads to from an entry are missed. In a shard of up to `beam`
 nodes it is exact.
@@ -229,9 +229,11 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, largest: floa
                 places, _ = walk(unit(vectors, largest), near, toward, beam)
                 out = []
                 for q, name in enumerate(names):
-                    found = places[q][: top + 1]
-                    found = found[found >= 0]
+                    found = places[q][places[q] >= 0]
                     scores = vectors[found] @ original[q]
+                    if len(found) > top + 1:  # the query's own node may be among them; ties stay
+                        best = scores >= np.partition(scores, -top - 1)[-top - 1]
+                        found, scores = found[best], scores[best]
                     rows = [(-s, x) for s, at in zip(scores.tolist(), found) for x in ids[at] if x != name]
                     out += [(name, x, -s) for s, x in sorted(rows)[:top]]
                 columns = list(zip(*out)) if out else [[], [], []]
