@@ -194,3 +194,12 @@ def test_rows_without_their_repeats(spark):
     assert found[2]["text"] == "second one" and found[3]["text"] is None and found[4]["text"] == "short"
     assert suffix_dedup.remove_repeats(df.limit(0), 400).collect() == []
     assert suffix_dedup.mark_repeats(df.limit(0)).collect() == []
+
+
+def test_no_task_of_the_repeats_runs_two_python_functions(spark):
+    """Each function of a task takes a worker process of its own, which stays with its memory."""
+    text = "one and the same passage of some words and more of them " * 8
+    df = spark.createDataFrame([(i, f"number {i} " * 20 + text + f" end {i}") for i in range(6)], "doc_id long, text string")
+    plan = suffix_dedup.remove_repeats(df, length=100)._jdf.queryExecution().executedPlan().toString()
+    functions = [part.count("MapInArrow") for part in plan.split("Exchange")]
+    assert max(functions) == 1

@@ -63,3 +63,21 @@ def test_scoring_of_a_long_text_takes_no_row_per_ngram():
     for x, lang in zip(texts, langs):
         found = language.ngrams(x or "", 1 << 15)
         assert lang == (model.languages[weights[found].sum(axis=0).argmax()] if len(found) else "und")
+
+
+def test_a_batch_of_texts_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    generator = np.random.default_rng(2)
+    texts = ["".join(map(chr, generator.integers(97, 123, 2000))) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    model = language.Model(("a", "b"), np.log(generator.random((1 << 15, 2))), np.zeros(2))
+    tracemalloc.start()
+    for part in language.by_bytes(iter([batch]), "text", language.BATCH_BYTES):
+        language.score(model, part.column("text").to_pylist(), 1 << 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20

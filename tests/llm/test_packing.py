@@ -56,3 +56,11 @@ def test_pieces_of_a_table(spark, monkeypatch):
     for pieces in by_sequence.values():
         assert sorted(pieces)[0][0] == 0 and sum(n for _, n in pieces) == max(o + n for o, n in pieces) <= 128
     assert packing.pack_documents(df.limit(0), WORD_JSON, 2).collect() == []
+
+
+def test_tasks_of_other_operators_forget_the_words():
+    packing.word_encoder(WORD_JSON)([b"some words"])
+    packing.give_back_memory(keeping=packing._encoders)
+    assert packing.word_encoder(WORD_JSON).known
+    packing.give_back_memory()
+    assert not packing._encoders

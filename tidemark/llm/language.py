@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import by_bytes, ship
+from tidemark.llm.common import by_bytes, give_back_memory, ship
 
-BATCH_BYTES = 8 << 20
+# What a batch's n-grams and their counts take grows with it: 43 MB for 8 MB of text, 10 MB for 1 MB.
+BATCH_BYTES = 1 << 20
 SEGMENT = 1 << 15
 UNKNOWN = "und"
 
@@ -85,6 +86,7 @@ def fit(
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         docs: dict[str, int] = {}
         counts: dict[str, np.ndarray] = {}
         for batch in by_bytes(batches, "text", BATCH_BYTES):
@@ -166,6 +168,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         known = shared.value
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             langs, sure = score(known, batch.column("text").to_pylist(), buckets)
@@ -187,6 +190,7 @@ def keep_identified(df: DataFrame, model: Model, min_score: float = 0.5, text_co
     names = [f"c{i}" for i in range(len(df.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         known = shared.value
         for batch in by_bytes(batches, names[at], BATCH_BYTES):
             langs, sure = score(known, batch.column(at).to_pylist(), buckets)

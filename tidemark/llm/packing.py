@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import by_bytes, give_back_memory, ship
+from tidemark.llm.common import by_bytes, give_back_memory, remembered, ship
 from tidemark.llm.token_counts import batches_by_bytes
 
 BATCH_BYTES = 2 << 20
@@ -68,6 +68,7 @@ class WordEncoder:
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
+remembered.append(_encoders)
 
 
 def word_encoder(path: str, known_words: int = KNOWN_WORDS) -> WordEncoder:
@@ -129,7 +130,7 @@ def pack_documents(
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back_memory()
+        give_back_memory(keeping=_encoders)
         encoder = word_encoder(tokenizer, known_words)
         base = TaskContext.get().partitionId() << 36
         names: list = []
@@ -168,6 +169,8 @@ def pack_documents(
                 yield from group()
         if ids:
             yield from group()
+        # the worker stays, for tasks of other kinds too
+        give_back_memory(keeping=_encoders)
 
     narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return narrow.mapInArrow(
