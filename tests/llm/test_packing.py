@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -58,9 +59,50 @@ def test_pieces_of_a_table(spark, monkeypatch):
     assert packing.pack_documents(df.limit(0), WORD_JSON, 2).collect() == []
 
 
+ODD_WORDS = (
+    "Ab. AB ab a<|endoftext|>b x<|endoftext|>. it's don'T x'. café. éré,%%% a9. 9. x_ _a_ “x” x…. x . x\x1cy İstanbul. xक़. "
+    "ΣΑΣ ﬁ. x² Ⅷ 한. 中文, \U0001f642. a‍b ẞ. á. ไทย. कि. ... <| |>"
+).split(" ")
+
+
+def test_ids_of_odd_words_are_the_librarys():
+    tokenizer, encoder = Tokenizer.from_file(WORD_JSON), packing.WordEncoder(WORD_JSON, known_words=20)
+    texts = [*ODD_WORDS, " ".join(ODD_WORDS), "\t".join(reversed(ODD_WORDS))]
+    wanted = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert encoder([x.encode() for x in texts]) == wanted
+    assert [encoder([x.encode()])[0] for x in texts] == wanted
+
+
+def test_words_of_letters_are_encoded_together_and_once():
+    encoder, texts = packing.WordEncoder(WORD_JSON), []
+
+    class Counted:
+        def encode_batch_fast(self, batch, add_special_tokens):
+            texts.extend(batch)
+            return tokenizer.encode_batch_fast(batch, add_special_tokens=add_special_tokens)
+
+    tokenizer, encoder.tokenizer = encoder.tokenizer, Counted()
+    stems = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(2000)]
+    words = [f(x) for x in stems for f in (str, str.upper, str.title, "{}.".format, "{},%%%".format)]
+    (found,) = encoder([" ".join(words).encode()])
+    assert found == np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(texts) < 10 and sum(map(len, texts)) < 9000
+
+
 def test_tasks_of_other_operators_forget_the_words():
     packing.word_encoder(WORD_JSON)([b"some words"])
-    packing.give_back_memory(keeping=packing._encoders)
+    packing.keep_words_only()
     assert packing.word_encoder(WORD_JSON).known
     packing.give_back_memory()
     assert not packing._encoders
+
+
+def test_tasks_of_packing_share_the_words(spark):
+    def known(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(x.known) for x in packing._encoders.values())])], names=["n"])
+
+    df = spark.createDataFrame([(1, "some words that tasks remember")], "doc_id long, text string").coalesce(1)
+    packing.pack_documents(df, WORD_JSON, 2).collect()
+    counts = spark.range(64).repartition(64).selectExpr("id AS n").mapInArrow(known, "n long").collect()
+    assert max(r["n"] for r in counts) >= 5

@@ -18,6 +18,7 @@ table has no pieces.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,11 @@ class WordEncoder:
 
     No token of such a tokenizer reaches over ASCII white space, so a text's ids are those of its words in
     turn; the distinct words are encoded in batches and up to `known_words` of them remembered, some 200 bytes each.
+
+    Where the tokenizer ends words with tokens of their own (`end_of_word_suffix`) and parts letters from ASCII punctuation,
+    words of letters and punctuation at the end are these two parts. Words of letters alone, in lower case if the tokenizer
+    makes them so, are encoded as one text, which its ending tokens part again. Other words, and those with letters that
+    the tokenizer's normalizer turns into marks, are encoded one by one.
     """
 
     def __init__(self, path: str, known_words: int = KNOWN_WORDS):
@@ -52,6 +58,18 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.known_words = known_words
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ending = np.zeros(max(vocab.values()) + 1, np.bool_)
+        self.ending[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        letters = [ids(x) for x in ("x", "\u00e9")]
+        self.normalized = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.one_text = all(len(x) and self.ending[x[-1]] for x in letters)
+        # no tail may hold a part of a special string
+        special = "".join(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        marks = [x for x in string.punctuation if x not in special and ids("x" + x) == letters[0] + ids(x) and ids("\u00e9" + x) == letters[1] + ids(x)]
+        self.tails = "".join(marks).encode() if self.one_text else b""
+        self.lowers = ids(string.ascii_uppercase) == ids(string.ascii_lowercase)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text (in UTF-8), as little-endian unsigned 32-bit integers."""
@@ -61,16 +79,56 @@ class WordEncoder:
             if len(self.known) + len(new) > self.known_words:
                 self.known = {}
                 new = set().union(*cut)
-            for batch in batches_by_bytes((x.decode() for x in new), ENCODED_BYTES):
-                found = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-                self.known.update((word.encode(), np.array(x.ids, "<u4").tobytes()) for word, x in zip(batch, found))
+            self._learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
+    def _learn(self, words: set[bytes]) -> None:
+        known, tails, parted, letters, others = self.known, self.tails, [], set(), set()
+        for word in words:
+            stem = word.rstrip(tails) if tails else word
+            if stem.isalpha():
+                stem = stem.lower() if self.lowers else stem
+            elif not self.one_text or not self.normalized(stem.decode()).isalpha():
+                others.add(word)
+                continue
+            if stem not in known:
+                letters.add(stem)
+            if stem != word:
+                tail = word[len(stem) :]
+                parted.append((word, stem, tail))
+                if tail and tail not in known:
+                    others.add(tail)
+        for batch in batches_by_bytes(letters, ENCODED_BYTES):
+            known.update(zip(batch, self._of_letters(batch)))
+        for batch in batches_by_bytes(others, ENCODED_BYTES):
+            known.update(zip(batch, self._one_by_one(batch)))
+        known.update((word, known[stem] + known[tail] if tail else known[stem]) for word, stem, tail in parted)
+
+    def _of_letters(self, words: list[bytes]) -> list[bytes]:
+        if self.one_text:
+            (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ending[ids]) + 1)
+            # every word of letters has one ending at least
+            if len(ends) == len(words):
+                ends, ids = ends.tolist(), ids.tobytes()
+                return [ids[start:end] for start, end in zip([0, *ends], ends)]
+        return self._one_by_one(words)
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 remembered.append(_encoders)
 
 
+def keep_words_only() -> None:
+    """Give memory back but keep the encoders. A function of the module, as tasks would get a copy of a dictionary they name."""
+    give_back_memory(keeping=_encoders)
+
+
 def word_encoder(path: str, known_words: int = KNOWN_WORDS) -> WordEncoder:
     if (path, known_words) not in _encoders:
         _encoders[path, known_words] = WordEncoder(path, known_words)
@@ -130,7 +188,7 @@ def pack_documents(
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back_memory(keeping=_encoders)
+        keep_words_only()
         encoder = word_encoder(tokenizer, known_words)
         base = TaskContext.get().partitionId() << 36
         names: list = []
@@ -170,7 +228,7 @@ def pack_documents(
         if ids:
             yield from group()
         # the worker stays, for tasks of other kinds too
-        give_back_memory(keeping=_encoders)
+        keep_words_only()
 
     narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return narrow.mapInArrow(
