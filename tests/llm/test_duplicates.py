@@ -93,6 +93,41 @@ def test_repeated_ids_and_empty_tables(spark):
     assert jaccard.keep_one_of_each(df.limit(0)).collect() == []
 
 
+def test_sides_do_not_grow_with_the_number_of_tasks(spark, monkeypatch):
+    """Members of a key come in blocks by the key's size; blocks by task would bring every stray to each of them."""
+    chosen, counts = random.Random(11), []
+    word = lambda: "".join(chosen.choice("abcdefghijkl") for _ in range(6))
+    common = [word() for _ in range(100)]
+    rows = [(i, " ".join(common + [word() for _ in range(60)])) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = jaccard._open_sides
+    monkeypatch.setattr(jaccard, "_open_sides", lambda *x: (sides := whole(*x), counts.append(sides.count()))[0])
+    for tasks in (1, 24):
+        found = jaccard.similar_groups(df.repartition(tasks), 3, 80)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == groups(rows, 3, 80)
+    assert counts[0] == counts[1] > 1000
+
+
+def test_packed_keys():
+    generator = np.random.default_rng(3)
+    for bits in (10, 11, 24):
+        low = 64 - bits - 8 * jaccard.KEY_BYTES
+        for bucket in (0, 5, (1 << bits) - 1):
+            below = np.sort(generator.integers(0, 1 << 8 * jaccard.KEY_BYTES, 300, dtype=np.uint64))
+            keys = ((below + np.uint64(bucket << 8 * jaccard.KEY_BYTES)) << np.uint64(low)).view(np.int64)
+            planes = jaccard._packed(keys, low)
+            assert len(planes) == 300 * jaccard.KEY_BYTES
+            assert jaccard._unpacked(planes, bucket, low).tolist() == keys.tolist()
+
+
+def test_texts_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "a b c d e f", "z")], "doc_id long, text string, lang string")
+    kept = jaccard.keep_one_of_each(df)
+    plan = kept._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert not re.search(r"SortAggregate.* first\(.*\n.*Sort.*\n.*Exchange", plan) and "partial_first(" in plan
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
 def test_keys_of_many_unlike_sets(spark, monkeypatch):
     """Half of every text is the same, so many keys are shared by sets that are not alike."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
