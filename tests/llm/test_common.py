@@ -45,7 +45,7 @@ def test_sizes_of_batches(spark):
     assert sum(few) == 200 and max(few) <= 20
     assert spark.conf.get(common.BATCH_SETTING) == before
     with pytest.raises(ZeroDivisionError), common.small_batches(spark, 1000):
-        assert spark.conf.get(common.BATCH_SETTING) == "1000b"
+        assert spark.conf.get(common.BATCH_SETTING) == "1000"
         1 / 0
     assert spark.conf.get(common.BATCH_SETTING) == before
     spark.conf.set(common.BATCH_SETTING, "500b")

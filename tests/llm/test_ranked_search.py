@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import ranked_search
+from tidemark.llm import common, ranked_search
 from tidemark.llm.common import keep
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -103,6 +103,18 @@ def test_joint_impacts(monkeypatch):
         assert n == both.sum() and most == (w[x] * factor[x] + w[y] * factor[y])[both].max(initial=0)
 
 
+def test_tasks_hold_few_blocks_at_a_time(spark, monkeypatch):
+    """Every job with a Python function runs within the operator, with small batches, and reads blocks one by one."""
+    held, whole = [], common.small_batches
+    monkeypatch.setattr(common, "small_batches", lambda spark, most, rows=None: held.append((most, rows)) or whole(spark, most, rows))
+    docs, items = corpus(6, 300)
+    found = ranked_search.best_documents(*frames(spark, docs, items), top=5, block_rows=50)
+    of_blocks = (ranked_search.BATCH_BYTES, 1)
+    assert held == [(ranked_search.BATCH_BYTES, None)] * 2 + [of_blocks] * 4
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in found.orderBy("item_id", "rank").collect()] == plain(docs, items, 5)
+
+
 def test_pair_bounds_are_tighter_and_still_bounds(spark):
     docs, items = corpus(2, 400)
     df, asked = frames(spark, docs, items)

@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import count
 
 import numpy as np
@@ -41,17 +42,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import keep, ship
+from tidemark.llm.common import give_back_memory, keep, ship
 
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
+# Of the tables that Python functions read. A block and its postings take some MB; by default a task would hold 64 MB of them, in Python
+# and, beside its heap, in the JVM.
+BATCH_BYTES = 4 << 20
 QUERY_ROWS = 256
 MAX_PAIRS = 1 << 16
 PAIR_POSTINGS = 1 << 20
 FIRST_OF = 16
 LANES = 64
 
+_keep = partial(keep, batch_bytes=BATCH_BYTES)
+_of_blocks = partial(_keep, read_rows=1)  # what is made of blocks, whose rows are that large
+
 # What separates terms becomes a blank, A to Z become a to z.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -122,6 +129,7 @@ def invert(df: DataFrame, id_col: str, text_col: str, block_rows: int = BLOCK_RO
     id_type = narrow.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         first, held, kind = TaskContext.get().partitionId() << 32, _Block(), None
         for batch in batches:
             kind = batch.schema.field("id").type
@@ -163,13 +171,14 @@ def weigh(found: Corpus, items: DataFrame, item_col: str, text_col: str) -> Data
     item_type = narrow.schema["item"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for batch in batches:
             for i, text in enumerate(batch.column("text")):
                 terms = pa.array(sorted({w for x in words(text.as_buffer().to_pybytes()) for w in x}), pa.binary())
                 of = pa.array(np.full(len(terms), i, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("item").take(of), terms.cast(pa.string())], names=["item", "term"])
 
-    asked = keep(narrow.mapInArrow(run, f"item {item_type}, term string").distinct(), "search-items")
+    asked = _keep(narrow.mapInArrow(run, f"item {item_type}, term string").distinct(), "search-items")
     held = found.blocks.select(F.inline(F.arrays_zip("terms", "dfs"))).withColumnRenamed("terms", "term")
     df = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("dfs").alias("df"))
     w = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * found.n_docs + 2)) / (2 * F.col("df") + 1).cast("double")))
@@ -235,6 +244,7 @@ def index(found: Corpus, pairs: list[tuple[str, str, int, int]]) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         first, second, w_first, w_second = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
@@ -391,6 +401,7 @@ def _hits(blocks: DataFrame, queries: list[tuple], pairs: dict[tuple[str, str],
     shared = blocks.sparkSession.sparkContext.broadcast((queries, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         asked = Queries(*shared.value, top)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -418,10 +429,10 @@ def search(
         asked = [(r["item"], [(t["w"], t["term"]) for t in r["terms"]]) for r in weighted.filter(F.col("query") == query).collect()]
         wanted = {(p[1], q[1]) for _, terms in asked for p, q in zip(terms, terms[1:])}
         own = {x: of_pair[x] for x in wanted if x in of_pair}
-        early = keep(_narrowed(_hits(blocks.filter(first), [(*x, None) for x in asked], own, top, schema, kinds), top), "search-first")
+        early = _of_blocks(_narrowed(_hits(blocks.filter(first), [(*x, None) for x in asked], own, top, schema, kinds), top), "search-first")
         reach = {r["item"]: r["score"] for r in early.filter(F.col("rank") == top).collect()}
         late = _hits(blocks.filter(~first), [(*x, reach.get(x[0])) for x in asked], own, top, schema, kinds)
-        parts.append(_narrowed(early.drop("rank").unionByName(late), top))
+        parts.append(_of_blocks(_narrowed(early.drop("rank").unionByName(late), top), "search-best"))
     if not parts:
         return spark.createDataFrame([], f"`{item_col}` {item_type.simpleString()}, rank int, `{id_col}` {id_type.simpleString()}, score long")
     whole = parts[0]
@@ -435,7 +446,7 @@ def best_documents(
     item_col: str = "item_id", item_text_col: str = "text", block_rows: int = BLOCK_ROWS, max_pairs: int = MAX_PAIRS,
 ) -> DataFrame:
     """Index df, with the items themselves as the query log, and rank its documents for each item."""
-    found = corpus(keep(invert(df, id_col, text_col, block_rows), "search-blocks"))
-    weighted = keep(weigh(found, items, item_col, item_text_col), "search-items")
+    found = corpus(_keep(invert(df, id_col, text_col, block_rows), "search-blocks"))
+    weighted = _of_blocks(weigh(found, items, item_col, item_text_col), "search-items")
     pairs = frequent_pairs(weighted, max_pairs)
-    return search(keep(index(found, pairs), "search-index"), weighted, pairs, top, id_col, item_col)
+    return search(_of_blocks(index(found, pairs), "search-index"), weighted, pairs, top, id_col, item_col)
